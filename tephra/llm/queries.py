@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, token_blocks, token_counts
+from . import bpe, decontaminate, media, simhash, token_blocks, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_token_blocks": token_blocks.op1_token_blocks,
+    "op2_media": media.op2_media,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_bpe": bpe.op5_bpe,
+    "op8_simhash": simhash.op8_simhash,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE_SQL}
