@@ -7,6 +7,7 @@ worker, and ids are joined. Texts for which this doesn't hold are given to the l
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -38,6 +39,12 @@ def load_tokenizer(path: str):
     return t
 
 
+@functools.cache
+def shared_encoder(name_or_path: str) -> LibraryEncoder:
+    """One encoder for all tasks of a worker: what it has learned is kept from task to task."""
+    return LibraryEncoder(name_or_path)
+
+
 class _Pieces(dict):
     """piece -> ids as little-endian 32-bit bytes."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, map_texts
-from .encoders import LibraryEncoder
+from .encoders import shared_encoder
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -122,7 +122,7 @@ def write_token_segments(docs: DataFrame, path: str, tokenizer: str = "word_bpe_
     def make():
         from pyspark import TaskContext
 
-        encoder = LibraryEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         tail = np.array([end_id], "<u4").tobytes() if end_id is not None else b""
         part = TaskContext.get().partitionId()
         state = {"segment": 0, "start": 0}
