@@ -123,14 +123,7 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     if len(blocks) == 1:
         return map_texts(rows, _scanner(docs.sparkSession, blocks[0], window, True), f"key {kind}, {_RESULT}").withColumnRenamed("key", key)
-    hits = None
-    for block in blocks:
-        one = map_texts(rows.select("key", "text", F.xxhash64("text").alias("of")), _scanner(docs.sparkSession, block, window, False), f"key {kind}, of long, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
-        hits = one if hits is None else hits.unionByName(one)
-    hits = written(hits, "benchmark-hits")
-    base = hits.where(F.col("n_words").isNotNull())
-    found = hits.where(F.size("spans") > 0).dropDuplicates(["key", "of", "spans", "items"]).groupBy("key", "of").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    both = base.select("key", "of", "n_words").alias("l").join(found.alias("r"), F.col("l.key").eqNullSafe(F.col("r.key")) & F.col("l.of").eqNullSafe(F.col("r.of")), "left").select("l.key", "n_words", "spans", "items")
+    both = _scan_blocks(rows, blocks, kind, window).select("key", "n_words", "spans", "items")
 
     def make():
         def run(batch: pa.RecordBatch):
@@ -142,6 +135,25 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return map_texts(both, make, f"key {kind}, {_RESULT}").withColumnRenamed("key", key)
 
 
+def _scan_blocks(rows: DataFrame, blocks: list, kind: str, window: int) -> DataFrame:
+    """key, of (hash of the text), n_words, spans and items of each row, brought together over the blocks of a large benchmark."""
+    rows = rows.select("key", "text", F.xxhash64("text").alias("of"))
+    base = map_texts(rows, _counter, f"key {kind}, of long, n_words long")
+    hits = None
+    for block in blocks:
+        one = map_texts(rows, _scanner(rows.sparkSession, block, window, False), f"key {kind}, of long, spans array<struct<a:long,b:long>>, items array<string>")
+        hits = one if hits is None else hits.unionByName(one)
+    if hits is None:
+        return base.withColumns({"spans": F.array().cast("array<struct<a:bigint,b:bigint>>"), "items": F.array().cast("array<string>")})
+    # Only hits are left in these rows; equal rows have equal hits, so one of them is enough.
+    found = written(hits, "benchmark-hits").groupBy("key", "of").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items")).withColumnsRenamed({"key": "_key", "of": "_of"})
+    return base.join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.col("of") == F.col("_of")), "left").drop("_key", "_of")
+
+
+def _counter():
+    return lambda b: {"key": b.column(0), "of": b.column(2), "n_words": [len(words_of(t)) for t in b.column(1).to_pylist()]}
+
+
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<a:long,b:long>>"
 
 
@@ -169,7 +181,9 @@ def _scanner(spark, block, window: int, whole: bool):
             found = [windows.scan(t) for t in texts]
             if whole:
                 return _finished(batch.column(0), found)
-            return {"key": batch.column(0), "of": batch.column(2), "n_words": [n for n, _, _ in found], "spans": [[{"a": a, "b": b} for a, b in s] for _, s, _ in found], "items": [sorted(i) for _, _, i in found]}
+            hit = [i for i, f in enumerate(found) if f[1]]
+            at = pa.array(hit, pa.int64())
+            return {"key": batch.column(0).take(at), "of": batch.column(2).take(at), "spans": [[{"a": a, "b": b} for a, b in found[i][1]] for i in hit], "items": [sorted(found[i][2]) for i in hit]}
 
         return run
 
@@ -198,35 +212,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     A document whose text is null, empty or without hits stays as it is.
     """
     item, item_text, window = more.get("item", "item_id"), more.get("item_text", "text"), more.get("window", WINDOW)
-    for block in _blocks(benchmark, item, item_text, more.get("block_bytes", BLOCK_BYTES)):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        docs = _cut_block(docs, sent, key, text, window)
-    return docs
+    blocks = list(_blocks(benchmark, item, item_text, more.get("block_bytes", BLOCK_BYTES)))
+    place, columns, schema = docs.columns.index(text), docs.columns, docs.schema
+    if len(blocks) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
+        def scan():
+            windows = Windows(sent.value, window)
+            return lambda batch: [windows.scan(t)[:2] for t in batch.column(place).to_pylist()]
 
-def _cut_block(docs: DataFrame, sent, key: str, text: str, window: int) -> DataFrame:
-    from pyspark.sql.types import StructType
+        rows = docs
+    else:
+        found = _scan_blocks(docs.select(docs[key].alias("key"), docs[text].alias("text")), blocks, dict(docs.dtypes)[key], window)
+        found = found.where(F.size("spans") > 0).select(F.col("key").alias("_hit_key"), F.col("of").alias("_hit_of"), F.struct("n_words", "spans").alias("_hit")).dropDuplicates(["_hit_key", "_hit_of"])
+        rows = docs.join(found, docs[key].eqNullSafe(F.col("_hit_key")) & (F.xxhash64(docs[text]) == F.col("_hit_of")), "left").select(*[docs[c] for c in columns], "_hit")
 
-    schema: StructType = docs.schema
-    place = docs.columns.index(text)
+        def scan():
+            return lambda batch: [(h["n_words"], [(s["a"], s["b"]) for s in h["spans"]]) if h else (0, []) for h in batch.column(len(columns)).to_pylist()]
 
     def run(batches):
         from .common import slices
 
-        windows = Windows(sent.value, window)
+        find = scan()
         for batch in slices(batches):
             texts, keep = batch.column(place).to_pylist(), []
-            for i, t in enumerate(texts):
-                n, spans, _ = windows.scan(t)
+            for i, (n, spans) in enumerate(find(batch)):
                 hit = sum(b - a for a, b in spans)
                 keep.append(not (hit and SHARE * hit >= n))
                 if hit and keep[-1]:
-                    texts[i] = cut_spans(t, spans)
-            columns = batch.columns
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+                    texts[i] = cut_spans(texts[i], spans)
+            own = batch.columns[: len(columns)]
+            own[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(own, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
