@@ -7,6 +7,7 @@ pair in the table leave the array. Both ids of a pair are below 2**20, so a pair
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 
@@ -152,6 +153,12 @@ class ByteBpe:
         return raw.decode("utf-8", errors="replace").encode()
 
 
+@functools.cache
+def shared_bpe(name_or_path: str) -> ByteBpe:
+    """One encoder for all tasks of a worker."""
+    return ByteBpe(name_or_path)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text", values: bool = False) -> DataFrame:
     """Encode each whole text and decode its ids again: key, n_tokens, ids_sha256, decoded_sha256; with ``values`` also ids (bytes) and decoded.
 
@@ -161,7 +168,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: st
     more = ", ids binary, decoded string" if values else ""
 
     def make():
-        bpe = ByteBpe(tokenizer)
+        bpe = shared_bpe(tokenizer)
         sha = hashlib.sha256
 
         def run(batch: pa.RecordBatch):

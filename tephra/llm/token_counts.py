@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, map_texts, written
-from .encoders import LibraryEncoder, file_digest, tokenizer_path
+from .encoders import file_digest, shared_encoder, tokenizer_path
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
+SALTS = 16
 #: Counting options that are part of the cached version.
 OPTIONS = "add_special_tokens=False,truncation=None,padding=None"
 
@@ -26,7 +27,7 @@ def _counter(path: str):
         import sentencepiece
 
         return lambda p=sentencepiece.SentencePieceProcessor(model_file=path): lambda t: len(p.encode(t, num_threads=1)) if t else 0
-    return lambda: LibraryEncoder(path).count
+    return lambda: shared_encoder(path).count
 
 
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -61,16 +62,22 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
 
     def make():
         count = _counter(path)()
+        seen: set[bytes] = set()
 
         def run(batch: pa.RecordBatch):
-            return {"digest": batch.column(0), "n_tokens": [count(t) for t in batch.column(1).to_pylist()]}
+            # Rows that repeat key and text stand for one digest together: they meet in a task, which encodes one of them.
+            new = [i for i, d in enumerate(batch.column(0).to_pylist()) if d not in seen and not seen.add(d)]
+            rows = batch.take(pa.array(new, pa.int64()))
+            return {"digest": rows.column(0), "n_tokens": [count(t) for t in rows.column(1).to_pylist()]}
 
         return run
 
-    counted = map_texts(encode, make, "digest binary, n_tokens long").withColumn("tokenizer", F.lit(version))
+    counted = map_texts(encode, make, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(version))
     counted.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = cached().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest").select(F.col("k").cast(kind).alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # A digest with a third of all rows: its count is copied under salts, and the rows are dealt out over them.
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(counts, ["digest", "salt"]).select(F.col("k").cast(kind).alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

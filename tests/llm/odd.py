@@ -34,7 +34,7 @@ def docs(spark, texts=ODD_TEXTS, start=0):
     """Documents with null and repeated ids, and extra columns whose names clash with inner ones."""
     rows = [(start + i, t, "en", "src0", len(t or ""), "x", 1, 2.0) for i, t in enumerate(texts)]
     rows.append((None, "A text without an id.", "en", None, 5, "x", 1, 2.0))
-    rows.append(rows[3])
+    rows.append(rows[min(3, len(texts) - 1)])
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, fp long, score double")
 
 
