@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, written
 
-#: Words in a shingle, and most differing bits of a link.
+#: Words in a shingle, and most differing bits of a link. The index finds all pairs of up to MAX_DISTANCE differing bits:
+#: of two segments one then differs in at most one bit.
 SHINGLE = 3
 DISTANCE = 2
+MAX_DISTANCE = 3
 SEED = 42
 #: Distinct fingerprints under one key from which the key is indexed a second time.
 HOT_KEY = 256
@@ -68,15 +70,17 @@ def _segment_keys(df: DataFrame, value: str, lows: list[int], bits: int, names:
     return rows.select(*df.columns, F.col("_s.low").alias(segment), F.col("_b").alias(bit), F.col("_s.v").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, _b)"))).alias(left))
 
 
-def links(distinct: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """Pairs (a, b), a < b as signed longs, of distinct fingerprints (column fp) that differ in at most DISTANCE bits; each pair once.
+def links(distinct: DataFrame, hot_key: int = HOT_KEY, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b), a < b as signed longs, of distinct fingerprints (column fp) that differ in at most ``distance`` bits; each pair once.
 
     Each pair is emitted under the first key that it shares, so none comes twice from the plain index. Pairs from the
     second index are made distinct.
     """
+    if not 0 <= distance <= MAX_DISTANCE:
+        raise ValueError(f"the index finds pairs of at most {MAX_DISTANCE} differing bits")
     keyed = _segment_keys(distinct, "fp", [0, 32], 32, ("seg", "bit", "rest"))
     sizes = keyed.groupBy("seg", "bit", "rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    near = lambda: F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
+    near = lambda: F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     on = ["seg", "bit", "rest"]
 
     def pairs(rows: DataFrame, by: list[str], first) -> DataFrame:
@@ -140,8 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
-    """key, fingerprint (16 hex digits) and component_id (least key reachable over links of at most two differing bits) of every row.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY, distance: int = DISTANCE) -> DataFrame:
+    """key, fingerprint (16 hex digits) and component_id (least key reachable over links of at most ``distance`` differing bits) of every row.
 
     A null or wordless text has fingerprint zero and is linked like any other. Rows with equal fingerprints are one
     class; classes are linked, not rows. A null key is never a component's least key unless all of its keys are null.
@@ -149,7 +153,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     """
     fps = written(fingerprints(docs, key, text), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min(key).alias("least")), "classes")
-    roots = components(links(classes.select("fp"), hot_key))
+    roots = components(links(classes.select("fp"), hot_key, distance))
     of_class = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_class.join(least, "root").select(F.col("fp").alias("class"), "component_id")
@@ -160,13 +164,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     return rows.join(named, (rows.fp == named["class"]) & (rows.salt == named.salt)).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` with the least key of their component; of rows that repeat that key one stays. Columns stay.
 
     Rows with a null key can't be named by a component: they are left out of the comparison, and one of each text stays.
     """
     named = docs.where(F.col(key).isNotNull())
-    keep = near_duplicates(named, key, text).select(F.col("component_id").alias("_keep")).distinct()
+    keep = near_duplicates(named, key, text, distance=distance).select(F.col("component_id").alias("_keep")).distinct()
     rows = named.join(keep, F.col(key) == F.col("_keep"), "left_semi").dropDuplicates([key])
     return rows.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))
 

@@ -83,7 +83,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(keys, prints):
+def brute_components(keys, prints, distance=2):
     label = list(range(len(prints)))
 
     def root(i):
@@ -93,7 +93,7 @@ def brute_components(keys, prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+            if bin(prints[i] ^ prints[j]).count("1") <= distance:
                 label[root(i)] = root(j)
     least = {}
     for i, k in enumerate(keys):
@@ -113,23 +113,23 @@ def test_fingerprints_of_odd_texts():
         assert simhash.fingerprint(t) == brute_fingerprint(t)
 
 
-@pytest.mark.parametrize("hot_key", [simhash.HOT_KEY, 2, 0])
-def test_links_and_components(spark, hot_key):
+@pytest.mark.parametrize(("hot_key", "distance"), [(simhash.HOT_KEY, 2), (2, 2), (0, 2), (simhash.HOT_KEY, 3), (2, 3), (simhash.HOT_KEY, 1), (simhash.HOT_KEY, 0)])
+def test_links_and_components(spark, hot_key, distance):
     rng = random.Random(4)
     prints = [rng.getrandbits(64) for _ in range(60)] + [0, 1 << 63, (1 << 64) - 1]
     for _ in range(120):  # chains and clouds of neighbours
         p = rng.choice(prints[:12] + prints[-30:])
-        for b in rng.sample(range(64), rng.choice([1, 2, 3])):
+        for b in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
             p ^= 1 << b
         prints.append(p)
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot_key)
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot_key, distance)
     got = [tuple(r) for r in found.collect()]
-    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= distance}
     assert len(got) == len(want) and set(got) == want
     roots = {r["node"]: r["root"] for r in simhash.components(found).collect()}
-    assert [roots.get(p, p) for p in signed] == brute_components(signed, prints)
+    assert [roots.get(p, p) for p in signed] == brute_components(signed, prints, distance)
     assert simhash.components(found.limit(0)).count() == 0
 
 
@@ -225,7 +225,7 @@ def test_pipeline(spark, sf_dir):
         ids = {r["doc_id"] for r in after.select("doc_id").collect()}
         if name == "near_duplicates":
             rows = now.select("doc_id", "text").collect()
-            assert ids == set(brute_components([r["doc_id"] for r in rows], [brute_fingerprint(r["text"]) for r in rows]))
+            assert ids == set(brute_components([r["doc_id"] for r in rows], [brute_fingerprint(r["text"]) for r in rows], corpus_pipeline.DISTANCE))
         if name == "decontaminate":
             items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
             assert ids == {r["doc_id"] for r in now.collect() if not scan(r["text"], items)[4]}
