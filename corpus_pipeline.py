@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tephra.llm import bpe, decontaminate, langid, quality, simhash
 from tephra.llm.common import written
 
+#: Differing bits of linked fingerprints: the most that the operator's index finds for sure, so that more near copies go.
+DISTANCE = 3
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is too low go."""
@@ -20,7 +23,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints the document with the least id stays."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, distance=DISTANCE)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
