@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import ordered_prefix
+from ..functions.ordered import last_value, ordered_prefix
 from ..functions.sizes import entry_size, record_size
 from ..model import MAX_PAYLOAD, RECORD_OVERHEAD, Status
 
@@ -28,11 +28,10 @@ def admit(requests: DataFrame, close_no: int | None = None) -> DataFrame:
     """
     checked = validate(requests)
     valid, invalid = checked.where(F.col("status") == Status.OK.value), checked.where(F.col("status") != Status.OK.value)
-    before = Window.partitionBy("key").orderBy("req_no").rowsBetween(Window.unboundedPreceding, -1)
     open_ = F.lit(True) if close_no is None else F.col("req_no") <= close_no
-    live = F.coalesce(F.last(F.when(open_, F.col("op")), ignorenulls=True).over(before) == "PUT", F.lit(False))
-    status = F.when((F.col("op") == "DEL") & ~F.col("_live"), Status.NOT_FOUND.value).when(~open_, Status.STORE_CLOSED.value).otherwise(Status.OK.value)
-    return valid.withColumn("_live", live).withColumn("status", status).drop("_live").unionByName(invalid)
+    status = F.when((F.col("op") == "DEL") & ~F.coalesce(F.col("_before") == "PUT", F.lit(False)), Status.NOT_FOUND.value).when(~open_, Status.STORE_CLOSED.value).otherwise(Status.OK.value)
+    judged = last_value(valid, "key", ["req_no"], F.when(open_, F.col("op")), "_before").withColumn("status", status).drop("_before")
+    return judged.unionByName(invalid)
 
 
 def accepted(requests: DataFrame) -> DataFrame:
@@ -56,9 +55,8 @@ def run_gate(manifest: DataFrame, stop_writes: int) -> DataFrame:
 
 def op_delta(log: DataFrame) -> DataFrame:
     """seq_no, key, bytes_added, bytes_removed and total_bytes of a memory table after each write of one epoch."""
-    w = Window.partitionBy("key").orderBy("seq_no")
     sized = log.select("seq_no", "key", entry_size().alias("bytes_added"))
-    sized = sized.withColumn("bytes_removed", F.coalesce(F.lag("bytes_added").over(w), F.lit(0)).cast("long"))
+    sized = last_value(sized, "key", ["seq_no"], F.col("bytes_added"), "bytes_removed").fillna(0, ["bytes_removed"])
     return ordered_prefix(sized, ["seq_no"], "_row", {"total_bytes": F.col("bytes_added") - F.col("bytes_removed")}).drop("_row")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import last_value
 from ..model import Status
 
 _LAST = ["seq_no", "is_tombstone", "value"]
@@ -54,20 +55,20 @@ def layered_get(layers: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def prune_runs(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and id of the runs whose key range holds the key."""
-    return keys.select("key").distinct().join(manifest, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "id")
+    """key and id of the runs whose key range holds the key. A manifest has a row a run, which every reader holds anyway: it is broadcast."""
+    return keys.select("key").distinct().join(F.broadcast(manifest.select("id", "min_key", "max_key")), (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "id")
 
 
 def block_lookup(blocks: DataFrame, keys: DataFrame) -> DataFrame:
     """run_id, key and block_no for asked pairs (run_id, key): the run's block with the greatest first key that isn't above the key; no row if all are above.
 
-    Blocks and keys of a run are sorted once, and the last block seen before a key is the answer: no key meets all
-    blocks. A run's index and the keys asked of it meet in one task.
+    Blocks and keys are sorted once, and the last block seen before a key is the answer: no key meets all blocks, and a
+    large run's index is looked through in ranges.
     """
     asked = keys.select("run_id", "key").distinct()
     both = blocks.select("run_id", F.col("first_key").alias("key"), "block_no", F.lit(0).alias("_asked")).unionByName(asked.select("run_id", "key", F.lit(None).cast("int").alias("block_no"), F.lit(1).alias("_asked")))
-    w = Window.partitionBy("run_id").orderBy("key", "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("block_no", F.last("block_no", ignorenulls=True).over(w)).where("_asked = 1 AND block_no IS NOT NULL").select("run_id", "key", "block_no")
+    found = last_value(both, "run_id", ["key", "_asked"], F.col("block_no"), "_found", current=True)
+    return found.where("_asked = 1 AND _found IS NOT NULL").select("run_id", "key", F.col("_found").alias("block_no"))
 
 
 def lookup_trace(memory: DataFrame, runs: DataFrame, manifest: DataFrame, keys: DataFrame) -> DataFrame:
@@ -79,6 +80,6 @@ def lookup_trace(memory: DataFrame, runs: DataFrame, manifest: DataFrame, keys:
     in_memory = memory.select("key", F.lit(-1).alias("_m")).distinct()
     held = runs.join(manifest.select(F.col("id").alias("run_id"), "position"), "run_id").join(asked, "key", "left_semi").groupBy("key").agg(F.min("position").alias("_p"))
     hit = asked.join(in_memory, "key", "left").join(held, "key", "left").select("key", F.coalesce("_m", "_p").cast("int").alias("hit_position"))
-    seen = hit.join(manifest, F.col("position") <= F.coalesce("hit_position", F.lit(2**31 - 1)), "left")
+    seen = hit.join(F.broadcast(manifest.select("position", "min_key", "max_key")), F.col("position") <= F.coalesce("hit_position", F.lit(2**31 - 1)), "left")
     inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
     return seen.groupBy("key", "hit_position").agg(F.count_if(inside).alias("sstables_consulted"), F.count_if(~inside).alias("range_skipped")).select("key", F.lit(True).alias("checked_memtable"), "sstables_consulted", "range_skipped", "hit_position")

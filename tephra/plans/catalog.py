@@ -149,8 +149,7 @@ def prune_runs(spark, d):
 @query(sql("SELECT DISTINCT b.run_id, a.key, max(b.block_no) AS block_no FROM (SELECT DISTINCT key FROM asked) a JOIN blocks b ON b.first_key <= a.key GROUP BY b.run_id, a.key", "asked", "blocks"))
 def block_lookup(spark, d):
     runs = R.runs(spark, d)
-    ids = runs.select("run_id").distinct().withColumn("_j", F.lit(1))
-    asked = R.asked_keys(spark, d).distinct().withColumn("_j", F.lit(1)).join(ids, "_j").drop("_j")  # a handful of runs
+    asked = R.asked_keys(spark, d).distinct().withColumn("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(R.RUNS - 1).cast("long"))))
     return resolve.block_lookup(R.blocks(runs), asked)
 
 

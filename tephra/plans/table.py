@@ -67,22 +67,38 @@ class VersionedTable:
 
     # Writing
 
-    def write(self, requests: DataFrame) -> DataFrame:
-        """Append a batch (req_no, op, key, value) and return req_no, key, status. Deletes see what is stored and what the batch itself has put."""
+    def write(self, requests: DataFrame, batch_id: int | None = None) -> DataFrame | None:
+        """Append a batch (req_no, op, key, value) and return req_no, key, status. Deletes see what is stored and what the batch itself has put.
+
+        A batch with an id is stored once: None is returned if it is there already, as after a stream's restart.
+        """
+        if batch_id is not None and self._stored(batch_id):
+            return None
         if self.closed:
             raise EngineError(Status.STORE_CLOSED, self.base)
         if self.config.l0_stop_writes and len(self.store.load()["tables"]) >= self.config.l0_stop_writes:
             raise EngineError(Status.BACKPRESSURE, "too many runs")
         batch = written(requests.select("req_no", "op", "key", "value"), "batch")
-        stored = self.state().join(batch.select("key").distinct(), "key", "left_semi")
+        stored = resolve.live(self.entries().join(batch.select("key").distinct(), "key", "left_semi"))
         # What is live already goes before the batch as puts, which are not written again.
         before = stored.select(F.lit(None).cast("long").alias("req_no"), F.lit("PUT").alias("op"), "key", F.lit("").alias("value"))
         judged = written(admission.admit(before.withColumn("req_no", F.lit(-1).cast("long")).unionByName(batch)).where("req_no >= 0"), "judged")
         first = self.last_seq() + 1
         log = admission.assign_seq(judged.where(F.col("status") == Status.OK.value), first)
-        log.select("seq_no", "op", "key", F.when(F.col("op") == "PUT", F.col("value")).alias("value")).write.parquet(f"{self.base}/log/{first:020d}")
+        name = f"{first:020d}" if batch_id is None else f"{first:020d}-{batch_id}"
+        # What a failed writer has left under these numbers was never read and goes.
+        for old in self.store.files.names("log"):
+            if int(old[:20]) == first and not self.store.files.exists(f"log/{old}/_SUCCESS"):
+                self.store.files.delete(f"log/{old}")
+        log.select("seq_no", "op", "key", F.when(F.col("op") == "PUT", F.col("value")).alias("value")).write.mode("overwrite").parquet(f"{self.base}/log/{name}")
+        if batch_id is not None:
+            self.store.files.create(f"batches/{batch_id:020d}", name)
         return judged.select("req_no", "key", "status")
 
+    def _stored(self, batch_id: int) -> bool:
+        logged = any(n[20:] == f"-{batch_id}" and self.store.files.exists(f"log/{n}/_SUCCESS") for n in self.store.files.names("log"))
+        return logged or self.store.files.exists(f"batches/{batch_id:020d}")
+
     def _table(self, run_id: int, name: str) -> dict:
         rate = self.config.bloom_false_positive
         e = self.spark.read.parquet(f"{self.base}/runs/{name}")
@@ -110,7 +126,7 @@ class VersionedTable:
     def trim_log(self, manifest: dict) -> list[str]:
         """Delete the batches whose records are all in runs: all but the last that begin at or below the watermark, as the next one's first number shows."""
         names = self.store.files.names("log")
-        gone = [n for n, after in zip(names, names[1:]) if int(after) - 1 <= manifest["flushed_seq_no_watermark"]]
+        gone = [n for n, after in zip(names, names[1:]) if int(after[:20]) - 1 <= manifest["flushed_seq_no_watermark"]]
         for n in gone:
             self.store.files.delete(f"log/{n}")
         return gone

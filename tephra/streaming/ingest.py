@@ -11,10 +11,10 @@ from ..plans.table import VersionedTable
 
 
 def ingest(requests: DataFrame, table: VersionedTable, checkpoint: str, maintain: bool = True) -> StreamingQuery:
-    """Write each micro-batch of a stream (req_no, op, key, value) and maintain the table after it. Stop it with ``stop()``, gracefully after ``processAllAvailable()``."""
+    """Write each micro-batch of a stream (req_no, op, key, value), once even after a restart, and maintain the table after it. Stop it with ``stop()``, gracefully after ``processAllAvailable()``."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        table.write(batch)
+        table.write(batch, batch_id)
         if maintain:
             table.maintain()
 

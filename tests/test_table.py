@@ -49,6 +49,15 @@ def test_table_against_a_dictionary(spark, tmp_path):
     assert table.sweep(now_ms=10**15) == sorted(job["retired"]) or set(table.sweep(now_ms=10**15)) <= set(job["retired"])
 
 
+def test_a_batch_is_stored_once(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), TINY)
+    batch = spark.createDataFrame([(1, "PUT", "a", "x"), (2, "DEL", "a", None), (3, "PUT", "a", "y")], REQ)
+    assert table.write(batch, 0).count() == 3 and table.write(batch, 0) is None
+    table.flush()
+    table.write(batch, 1)
+    assert table.write(batch, 0) is None and table.last_seq() == 6
+
+
 def test_gates_and_recovery(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), TINY.replace(l0_stop_writes=1))
     table.write(spark.createDataFrame([(1, "PUT", "a", "x")], REQ))

@@ -141,6 +141,21 @@ def test_backpressure(spark):
     assert [r["outcome"] for r in got[:5]] == ["OK"] * 5 and all(r["outcome"] == "Backpressure" for r in got[5:])
 
 
+def test_last_value_of_a_frequent_key(spark):
+    from tephra.functions.ordered import last_value, ordered_prefix
+
+    rows = [("hot" if i % 3 else f"k{i % 7}", i, i if i % 5 == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, no long, v long")
+    got = {r["no"]: (r["before"], r["with_it"]) for r in last_value(last_value(df, "k", ["no"], F.col("v"), "before", partitions=9), "k", ["no"], F.col("v"), "with_it", current=True, partitions=5).collect()}
+    last = {}
+    for k, no, v in rows:
+        before = last.get(k)
+        last[k] = v if v is not None else before
+        assert got[no] == (before, last[k])
+    numbered = ordered_prefix(df.select("no"), ["no"], "n", {"total": F.col("no")}, partitions=7).collect()
+    assert all(r["n"] == r["no"] + 1 and r["total"] == r["no"] * (r["no"] + 1) // 2 for r in numbered)
+
+
 def test_retention_and_truncation(spark):
     seg = spark.createDataFrame([(1, 10), (2, 20), (3, 25)], "segment long, seq_no long")
     for mark, want in ((20, [1, 2]), (19, [1]), (99, [1, 2])):
