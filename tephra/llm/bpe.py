@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .encoders import WORD, byte_letters, space_parts, tokenizer_path
+from .encoders import BYTE_SPLIT, byte_letters, is_latin, tokenizer_path
 
 #: The public split pattern of this family of byte-level vocabularies (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,9 +50,7 @@ class ByteBpe:
         self.split = regex.compile(SPLIT)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.limit = pieces
-        self.words: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.words: dict[str | int, bytes] = {}
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit bytes."""
@@ -107,22 +105,8 @@ class ByteBpe:
         ends = np.cumsum(np.bincount(own, minlength=len(words))) * 4
         return [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
-    def _learn(self, plain: set[str], spaced: set[str]) -> None:
-        """Encode the pieces that the memory doesn't hold: all their different words in common rounds."""
-        split, match = self.split.findall, WORD.fullmatch
-        cut: list[tuple[dict, str, list[str]]] = []
-        for store, lead, pieces in ((self.plain, "", plain), (self.spaced, " ", spaced)):
-            for p in pieces:
-                if m := match(p):
-                    word, marks = m.groups()
-                    cut.append((store, p, [lead + word, marks] if marks else [lead + word]))
-                else:
-                    cut.append((store, p, split(lead + p)))
-        new = list({w for _, _, words in cut for w in words} - self.words.keys())
-        self.words.update(zip(new, self.merge_words([w.encode() for w in new])))
-        get = self.words.__getitem__
-        for store, p, words in cut:
-            store[p] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+    def _split(self, text: str) -> list[str]:
+        return BYTE_SPLIT.findall(text) if is_latin(text) else self.split.findall(text)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit bytes; strings of special tokens give their ids. Null: none."""
@@ -131,21 +115,20 @@ class ByteBpe:
             if not t:
                 cut.append([])
             elif self.special_split is not None and any(s in t for s in self.special):
-                cut.append([self.special[x] if x in self.special else space_parts(x) for x in self.special_split.split(t) if x])
+                cut.append([w for x in self.special_split.split(t) if x for w in ([self.special[x]] if x in self.special else self._split(x))])
             else:
-                cut.append([space_parts(t)])
-        plain: set[str] = set()
-        spaced: set[str] = set()
-        for parts in cut:
-            for p in parts:
-                if type(p) is tuple:
-                    plain.update(p[0])
-                    spaced.update(p[1])
-        if len(self.plain) + len(self.spaced) > self.limit or len(self.words) > self.limit:
-            self.words, self.plain, self.spaced = {}, {}, {}
-        self._learn(plain - self.plain.keys(), spaced - self.spaced.keys())
-        one, two = self.plain.__getitem__, self.spaced.__getitem__
-        return [b"".join([x for p in parts for x in ([p.to_bytes(4, "little")] if type(p) is int else [*map(one, p[0]), *map(two, p[1])])]) for parts in cut]
+                cut.append(self._split(t))
+        need: set[str] = set()
+        for words in cut:
+            need.update(words)
+        ids = {i for i in self.special.values() if i in need}
+        new = (need - ids) - self.words.keys()
+        if len(self.words) + len(new) > self.limit:
+            self.words, new = {}, need - ids
+        new = list(new)
+        self.words.update(zip(new, self.merge_words([w.encode() for w in new])))
+        self.words.update((i, i.to_bytes(4, "little")) for i in ids)
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become U+FFFD."""

@@ -1,8 +1,8 @@
 """Exact, memoising front of the tokenizers library.
 
-Both vocabularies split a text into pre-tokens that are merged on their own, and no pre-token reaches over a single
-space before a visible character. A text is therefore cut at such spaces, each different piece is encoded once in a
-worker, and ids are joined. Texts for which this doesn't hold are given to the library whole.
+Both vocabularies split a text into pre-tokens that are merged on their own. Texts of Latin letters are split here, by
+the vocabulary's own pattern with its character classes written out; each different pre-token goes through the
+library's merges once in a worker, and ids are joined. All other texts are given to the library.
 """
 
 from __future__ import annotations
@@ -59,10 +59,19 @@ class _Pieces(dict):
         return got
 
 
-#: A word of Latin letters below U+0250 (all composed, none that changes its length in lower case) and a run of ASCII marks.
-WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
-_WHITE_AFTER_SPACE = re.compile(r" (?:\s|\Z)")
-_ASCII_WHITE = tuple(" " + c for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+# Characters below U+0250 that are letters, numbers and white space (fixed values of Unicode).
+_L = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_N = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_W = "\t-\r \u0085\u00a0"
+#: The vocabularies' split patterns (fixed values) for texts of such characters.
+WORD_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_W}{_L}{_N}]+")
+BYTE_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
+# Beyond these characters, or with a letter whose lower case lies beyond them, a text isn't split here.
+_BEYOND = re.compile("[^\u0000-\u024f]|[\u0130\u023a\u023e]")
+
+
+def is_latin(text: str) -> bool:
+    return text.isascii() or _BEYOND.search(text) is None
 
 
 def byte_letters() -> list[str]:
@@ -72,20 +81,6 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
-def space_parts(text: str) -> tuple[list[str], list[str]]:
-    """Cut before each space that a visible character follows: no pre-token of the byte level reaches over such a place.
-
-    Returns the pieces without and with a space in front, the latter without it; the text is the first list's piece (one
-    at most) and then the second's.
-    """
-    if text.isascii() and not text.endswith(" ") and not any(x in text for x in _ASCII_WHITE) or not text.isascii() and not _WHITE_AFTER_SPACE.search(text):
-        parts = text.split(" ")
-        return parts[:1] if parts[0] else [], parts[1:]
-    pieces = [x for x in re.split(r"(?= \S)", text) if x]
-    spaced = len(pieces) > 0 and pieces[0][0] == " " and pieces[0][1:2].strip() != ""
-    return ([], [p[1:] for p in pieces]) if spaced else (pieces[:1], [p[1:] for p in pieces[1:]])
-
-
 class LibraryEncoder:
     """Ids of whole texts as the tokenizers library gives them, without added special tokens."""
 
@@ -97,39 +92,29 @@ class LibraryEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         kinds = [x["type"] for x in normal.get("normalizers", [])]
-        # Words without white space: every space ends a piece. Byte level: a piece starts at a space before a visible character.
+        # Lower-case words without white space, or the byte level: the two kinds that are split here.
         self.words = kinds == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed"
         self.bytes = not normal and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.model = self.tokenizer.model
-        self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.cores = _Pieces(self._core, pieces)
-        self.marks = _Pieces(self._library, 10_000)
-        self.plain = _Pieces(lambda p: self._piece("", p), pieces)
-        self.spaced = _Pieces(lambda p: self._piece(" ", p), pieces)
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces = _Pieces(self._piece, pieces)
+        self.others = _Pieces(self._library, pieces // 8)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _core(self, core: str) -> bytes:
-        """core: letters, in byte level perhaps after a space; they are one pre-token."""
-        return array("I", [t.id for t in self.model.tokenize(core if core.isascii() and core[0] != " " else core.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def _piece(self, lead: str, piece: str) -> bytes:
-        if m := WORD.fullmatch(piece):
-            word, marks = m.groups()
-            got = self.cores[word.lower() if self.words else lead + word]
-            return got + self.marks[marks] if marks else got
-        return self._library(lead + piece) if lead + piece else b""
+    def _piece(self, piece: str) -> bytes:
+        """One pre-token through the library's merges."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if self.words:
-            return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
-        if self.bytes and not any(s in text for s in self.special):
-            plain, spaced = space_parts(text)
-            return b"".join([*map(self.plain.__getitem__, plain), *map(self.spaced.__getitem__, spaced)])
+        if (self.words or self.bytes) and is_latin(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.pieces.__getitem__, WORD_SPLIT.findall(text.lower()) if self.words else BYTE_SPLIT.findall(text)))
+        if self.words:  # no pre-token holds a space
+            return b"".join(map(self.others.__getitem__, text.replace("\n", " ").split(" ")))
         return self._library(text)
 
     def count(self, text: str | None) -> int:

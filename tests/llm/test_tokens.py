@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
@@ -10,17 +11,22 @@ import pytest
 from odd import ODD_TEXTS, docs, empty
 from pyspark.sql import functions as F
 
-from tephra.llm.bpe import ByteBpe, encode_decode, op5_bpe
+from tephra.llm.bpe import SPLIT, ByteBpe, encode_decode, op5_bpe
 from tephra.llm.common import fresh_path
-from tephra.llm.encoders import LibraryEncoder, load_tokenizer, space_parts, tokenizer_path
+from tephra.llm.encoders import BYTE_SPLIT, LibraryEncoder, load_tokenizer, tokenizer_path
 from tephra.llm.token_blocks import op1_token_blocks, pack, read_token_segments, unpack, write_token_segments
 from tephra.llm.token_counts import count_tokens, op10_token_counts
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+@functools.cache
+def tokenizer_of(name):
+    return load_tokenizer(tokenizer_path(name))
+
+
 def library_ids(name, text):
-    return load_tokenizer(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids
+    return tokenizer_of(name).encode(text or "", add_special_tokens=False).ids
 
 
 def raw(ids):
@@ -47,11 +53,19 @@ def test_numpy_merges_are_the_library(spark, sf_dir):
     assert bpe.decode(raw(broken)).decode() == tokenizer.decode(broken, skip_special_tokens=False)
 
 
-def test_space_parts_lose_nothing():
-    for t in ODD_TEXTS:
-        if t:
-            plain, spaced = space_parts(t)
-            assert "".join(plain) + "".join(" " + p for p in spaced) == t
+def test_split_classes_are_those_of_unicode():
+    import regex
+
+    split = regex.compile(SPLIT)
+    rng = np.random.default_rng(3)
+    every = "".join(map(chr, range(1, 0x250)))
+    texts = [every, "".join(c + " " for c in every), "".join(c + "x" for c in every), "".join(c + "1 " for c in every)]
+    texts += ["".join(rng.choice(list(" '\n\tsSTrevmld.!1\u00e9\u00bd\x1c\u00a0"), 60)) for _ in range(500)]
+    for t in texts:
+        assert BYTE_SPLIT.findall(t) == split.findall(t)
+    encoder, tokenizer = LibraryEncoder(WORD), load_tokenizer(tokenizer_path(WORD))
+    for t in texts:
+        assert encoder.ids(t) == raw(tokenizer.encode(t, add_special_tokens=False).ids)
 
 
 @pytest.mark.parametrize("block", [8, 128, 256])
@@ -97,7 +111,7 @@ def test_op5(spark, sf_dir):
         want = []
         for r in source.collect():
             ids = library_ids(BYTE, r["text"])
-            want.append((r["doc_id"], len(ids), sha(raw(ids)), sha(load_tokenizer(tokenizer_path(BYTE)).decode(ids, skip_special_tokens=False).encode())))
+            want.append((r["doc_id"], len(ids), sha(raw(ids)), sha(tokenizer_of(BYTE).decode(ids, skip_special_tokens=False).encode())))
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
