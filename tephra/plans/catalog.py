@@ -11,7 +11,7 @@ from ..functions import bloom
 from ..functions.shared import fresh_path, written
 from ..functions.sizes import bloom_bits, bloom_hashes
 from ..operators import admission, compaction, folds, inspection, maintenance, resolve
-from ..sources import eventlog, manifest_store, wal
+from ..sources import eventlog, manifest_store, sst, wal
 from ..sources import requests as request_source
 from . import relations as R
 from .relations import SIZE, sql
@@ -202,6 +202,21 @@ def run_scan(spark, d):
     return read_runs(spark, paths)
 
 
+@query(sql("SELECT printf('%06d.sst', run_id) AS file, key, value, CAST(seq_no AS BIGINT) AS seq_no, is_tombstone FROM runs WHERE run_id >= 3", "runs"))
+def sst_scan(spark, d):
+    """The small runs packed as binary run files, and read back."""
+    import os
+
+    folder = fresh_path(spark, "sst").removeprefix("file:")
+    os.makedirs(folder)
+    runs = R.runs(spark, d)
+    for run_id in range(3, R.RUNS):
+        rows = runs.where(F.col("run_id") == run_id).orderBy("key").toLocalIterator()
+        with open(f"{folder}/{run_id:06d}.sst", "wb") as f:
+            f.write(sst.pack_run([(r["key"], r["value"], r["seq_no"], r["is_tombstone"]) for r in rows]))
+    return sst.read_sst(spark, folder).drop("block_no")
+
+
 @query(sql(f"SELECT row_number() OVER (ORDER BY key) AS ordinal, key, value, seq_no, is_tombstone FROM ({LATEST.format('log')})", "log"))
 def memtable_scan(spark, d):
     return inspection.memtable_scan(R.log_entries(spark, d)).select("ordinal", "key", "value", "seq_no", "is_tombstone")

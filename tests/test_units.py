@@ -10,7 +10,7 @@ from tephra.functions import bloom
 from tephra.functions.sizes import bloom_bits, bloom_hashes, entry_size, record_size
 from tephra.model import EngineError, Status
 from tephra.operators import admission, compaction, folds, maintenance, resolve
-from tephra.sources import eventlog, wal
+from tephra.sources import eventlog, sst, wal
 from tephra.sources.requests import parse_requests
 
 REQ = "req_no long, op string, key string, value string"
@@ -179,6 +179,36 @@ def test_wal_reader_stops_at_damage(spark, tmp_path):
     assert [(r["segment"][5], r["ok"], r["seq_no"], r["value"]) for r in got] == [("1", True, 1, "x"), ("1", True, 2, None), ("1", True, 3, ""), ("2", True, 1, "x"), ("2", True, 2, None), ("2", False, None, None), ("3", False, None, None)]
 
 
+def test_run_files(spark, tmp_path):
+    entries = [(f"key:{i:04d}", None if i % 5 == 0 else "v" * (i % 40), i + 1, i % 5 == 0) for i in range(300)]
+    for size, restart in ((64, 1), (256, 4), (8192, 16)):
+        run = sst.open_run(sst.pack_run(entries, size, restart))
+        assert [e for b in range(len(run.blocks)) for e in sst.block_entries(run, b)] == entries and (run.entries, run.min_seq_no, run.max_seq_no) == (300, 1, 300)
+        for key, value, _, dead in entries[::7]:
+            assert sst.lookup(run, key) == (("TOMBSTONE", None) if dead else ("FOUND", value))
+        assert {sst.lookup(run, k)[0] for k in ("", "key:", "key:0001x", "z")} == {"NOT_FOUND"}
+    raw = sst.pack_run(entries, 256)
+    assert sst.open_run(sst.pack_run([])).blocks == []
+    for bad in (b"", raw[:-1], raw[10:], raw[:-80] + raw[-72:]):
+        with pytest.raises(EngineError):
+            sst.open_run(bad)
+    (tmp_path / "000001.sst").write_bytes(raw)
+    assert [tuple(r)[2:] for r in sst.read_sst(spark, str(tmp_path)).orderBy("key").collect()] == entries
+    blocks = sst.read_sst(spark, str(tmp_path), "blocks").orderBy("block_no").collect()
+    assert blocks[0]["first_key"] == "key:0000" and sum(b["length"] for b in blocks) < len(raw)
+
+
+def test_command_line(spark, tmp_path):
+    from tephra.__main__ import run
+
+    folder = str(tmp_path / "t")
+    assert run(spark, [folder, "put", "--key", "a", "--value", "x"]) == ["OK"]
+    assert run(spark, [folder, "del", "--key", "b"]) == ["NOT_FOUND"]
+    assert run(spark, [folder, "flush"]) == ["run 0: 1 entries, 34 bytes"]
+    assert run(spark, [folder, "get", "--key", "a"]) == ["FOUND", "x"] and run(spark, [folder, "compact"]) == ["nothing to compact"]
+    assert run(spark, [folder, "manifest"])[-1] == "tables: 1" and len(run(spark, [folder, "runs"])) == 1
+
+
 def test_requests_and_events(spark, tmp_path):
     lines = spark.createDataFrame([('{"Put":{"key":"a","value":""}}',), ('{"Get":{"key":"a"}}',), ('{"Del":{"key":"b"}}',), ('"Stats"',), ("garbage",)], "line string")
     assert [tuple(r)[1:] for r in parse_requests(lines).collect()] == [("PUT", "a", ""), ("GET", "a", None), ("DEL", "b", None), (None, None, None), (None, None, None)]
