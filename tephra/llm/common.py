@@ -35,24 +35,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release() -> None:
     """Delete the tables written by this driver so far. DataFrames that read them can't be used afterwards."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before the interpreter
             return
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``written`` has made for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_tephra_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _written.remove((df.sparkSession, path))
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tephra_path = path
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

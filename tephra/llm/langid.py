@@ -144,13 +144,13 @@ def held_out(key: str):
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Train on rows that aren't held out and have a label: at most TRAIN_PER_LANGUAGE of each language and TRAIN_ROWS in all, picked by the key's hash."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(key))  # counted without reading the texts
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(TRAIN_ROWS // 8).collect()}
     each = min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // max(1, len(sizes)))
     part = F.lit(0.0)
     for name, n in sizes.items():
         part = F.when(F.col(lang) == name, min(1.0, 0.9 * each / n) if n > each else 1.0).otherwise(part)
-    picked = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(1 << 30)) < part * (1 << 30)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    picked = rows.where(F.col(text).isNotNull()).where(F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(1 << 30)) < part * (1 << 30)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def make():
         def run(batch: pa.RecordBatch):

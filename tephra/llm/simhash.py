@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import discard, map_texts, written
 
 #: Words in a shingle, and most differing bits of a link. The index finds all pairs of up to MAX_DISTANCE differing bits:
 #: of two segments one then differs in at most one bit.
@@ -135,8 +135,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both, True)
         small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False)
-        current = written(small, "edges")
+        last, current = current, written(small, "edges")
         now = stamp(current)
+        discard(last)  # the new round stands in the shared folder
         if now == before:
             break
         before = now
