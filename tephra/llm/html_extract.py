@@ -145,15 +145,19 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
             comment = not {"comment", "comments", "reply"}.isdisjoint(_CLASS_WORD.findall(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower())) if n.attrs else False
             if kinds(n) and not comment:
                 found.append(n)
-            elif n.tag not in ("nav", "aside", "footer", "head", "form") and not comment:
+            elif n.tag not in ("nav", "aside", "footer", "head") and not comment:
                 todo += [x for x in reversed(n.items) if type(x) is Node]
         if found:
             return found, True
     return [n for n in nodes(root) if n.tag == "body"][:1] or [root], False
 
 
-def blocks(roots: list[Node], gone) -> list[str]:
-    """Texts of the blocks below the roots in order, without elements for which ``gone(node)`` holds."""
+def is_header(node: Node) -> bool:
+    return node.tag == "header" or node.tag in ("div", "section") and "header" in _CLASS_WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())
+
+
+def blocks(roots: list[Node], gone, article: bool = True) -> list[str]:
+    """Texts of the blocks below the roots in order, without elements for which ``gone(node)`` holds. Of an article's headers the headings stay, a page's header goes."""
     out: list[str] = []
     own: list[str] = []
 
@@ -174,9 +178,9 @@ def blocks(roots: list[Node], gone) -> list[str]:
             elif x.tag == "br":
                 own.append(" ")
             elif x is root or not gone(x):
-                if x.tag == "header" and x is not root:
+                if x is not root and is_header(x):
                     cut()
-                    todo += [None, *(h for h in reversed(list(nodes(x))) if re.fullmatch("h[1-6]", h.tag))]
+                    todo += [None, *(h for h in reversed(list(nodes(x))) if article and re.fullmatch("h[1-6]", h.tag))]
                 elif x.tag in _BLOCKS:
                     cut()
                     todo += [None, *reversed(x.items)]
@@ -265,7 +269,7 @@ def _text(source: str | None, is_template) -> str:
         for i, n in enumerate(nodes(tree)):
             if i in found and is_template(i, n, found[i]):
                 drop.add(id(n))
-    return "\n".join(blocks(roots, lambda n: dropped(n) or id(n) in drop))
+    return "\n".join(blocks(roots, lambda n: dropped(n) or id(n) in drop, article))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast_templates: int = BROADCAST_TEMPLATES, **limits) -> DataFrame:

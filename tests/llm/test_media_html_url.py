@@ -73,7 +73,7 @@ def plain(source):
 
 def test_extraction():
     assert plain(PAGE) == "Title & more\nFirst bold line <x> é end.\nSecond\none\ntwo\nQuote"
-    for source, want in ((None, ""), ("", ""), ("no markup &amp; all", "no markup & all"), ("<p>a<p>b", "a\nb"), ("<body><div>x<script>1</script></div>", "x"), ("<article><p>x", "x"), ("<<<>>> <p", "<<<>>> <p"), ("<div>" * 3000 + "deep", "deep"), ("<script>never closed", ""), ("<!-- never closed", "")):
+    for source, want in ((None, ""), ("", ""), ("no markup &amp; all", "no markup & all"), ("<p>a<p>b", "a\nb"), ("<body><div>x<script>1</script></div>", "x"), ("<article><p>x", "x"), ("<<<>>> <p", "<<<>>> <p"), ("<div>" * 3000 + "deep", "deep"), ("<script>never closed", ""), ("<body><header><h1>Site</h1></header><div class='page-header'>x</div><p>Text", "Text"), ("<form><article><div class='entry-header'><h2>A</h2>by b</div><p>c</p></article></form>", "A\nc"), ("<body><p>x</p><div class='Ad-Slot'>y</div><div hidden>z</div><p role='note'>w</p><div role='navigation'>v</div>", "x\nw"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<dl><dt>a<dd>b<dt>c</dl>", "a\nb\nc"), ("<!-- never closed", "")):
         assert plain(source) == want
 
 
