@@ -25,7 +25,6 @@ class VersionedTable:
         self.store = ManifestStore(spark, self.base)
         self.events = EventLog(self.config.event_log_path) if self.config.event_log_path != EngineConfig().event_log_path else None
         self.paused = self.closed = False
-        self.jobs: list[dict] = []
 
     # Reading
 
@@ -151,13 +150,21 @@ class VersionedTable:
         began = time.time()
         write_run(compaction.merge_runs(*[self.spark.read.parquet(self._run_path(t)) for t in own]), f"{self.base}/runs/{name}")
         table = self._table(run_id, name)
-        new = self.store.commit(manifest | {"next_sst_id": run_id + 1, "tables": compaction.replace_in_manifest(manifest["tables"], ids, table)})
         keys_in = sum(t["num_entries"] for t in own)
-        job = {"job_id": len(self.jobs), "inputs": ids, "output": run_id, "bytes_in": sum(t["file_size"] for t in own), "bytes_out": table["file_size"], "keys_in": keys_in, "keys_out": table["num_entries"], "keys_dropped": max(0, keys_in - table["num_entries"]), "duration_ms": int(1000 * (time.time() - began)), "retired": [t["file_name"] for t in own], "retired_at_ms": int(1000 * time.time()), "epoch": new["epoch"]}
-        self.jobs.append(job)
+        job = {"job_id": len(self.jobs()), "inputs": ids, "output": run_id, "bytes_in": sum(t["file_size"] for t in own), "bytes_out": table["file_size"], "keys_in": keys_in, "keys_out": table["num_entries"], "keys_dropped": max(0, keys_in - table["num_entries"]), "duration_ms": int(1000 * (time.time() - began))}
+        self.store.commit(manifest | {"next_sst_id": run_id + 1, "tables": compaction.replace_in_manifest(manifest["tables"], ids, table)}, job)
         self._event("COMPACTION", **{k: job[k] for k in ("job_id", "inputs", "output", "bytes_in", "bytes_out")})
         return job
 
+    def jobs(self) -> list[dict]:
+        """Statistics of all compactions, oldest first, as the manifests keep them."""
+        return [m["job"] for m in self.store.history() if m.get("job")]
+
+    def job_relation(self) -> DataFrame:
+        columns = ["job_id", "inputs", "output", "bytes_in", "bytes_out", "keys_in", "keys_out", "keys_dropped", "duration_ms"]
+        rows = [tuple(j[c] for c in columns) for j in self.jobs()]
+        return self.spark.createDataFrame(rows, ", ".join(f"{c} {'array<long>' if c == 'inputs' else 'long'}" for c in columns))
+
     def maintain(self) -> None:
         """What background workers would do after a batch: flush first, then compact while it is due."""
         self.flush()
@@ -167,7 +174,7 @@ class VersionedTable:
     def sweep(self, pinned_epochs: list[int] = (), now_ms: int | None = None) -> list[str]:
         """Delete retired runs that are old enough and that neither the newest manifest nor a pinned epoch names; manifests stay."""
         keep = {t["file_name"] for e in [None, *pinned_epochs] for t in self.store.load(e)["tables"]}
-        retired = [(n, j["retired_at_ms"]) for j in self.jobs for n in j["retired"] if self.store.files.exists(f"runs/{n}")]
+        retired = [(n, at) for n, at in self.store.retired() if self.store.files.exists(f"runs/{n}")]
         if not retired:
             return []
         pinned = self.spark.createDataFrame([(k,) for k in keep], "file_name string")

@@ -38,6 +38,7 @@ def test_table_against_a_dictionary(spark, tmp_path):
             snapshots[epoch] = dict(model)
         assert {r["key"]: r["value"] for r in table.state().collect()} == model
     job = table.compact()
+    job_epoch = table.store.load()["epoch"]
     assert job and job["keys_dropped"] == job["keys_in"] - job["keys_out"]
     assert {r["key"]: r["value"] for r in table.state().collect()} == model
     for epoch, want in snapshots.items():
@@ -46,7 +47,12 @@ def test_table_against_a_dictionary(spark, tmp_path):
     assert table.get(key) == ("FOUND", model[key]) and table.get("nothing") == ("NOT_FOUND", None)
     again = VersionedTable(spark, str(tmp_path / "t"), TINY)
     assert again.recover() == [] and {r["key"]: r["value"] for r in again.state().collect()} == model
-    assert table.sweep(now_ms=10**15) == sorted(job["retired"]) or set(table.sweep(now_ms=10**15)) <= set(job["retired"])
+    assert again.jobs() == [job] and again.job_relation().first()["keys_in"] == job["keys_in"]
+    retired = {t["file_name"] for t in table.store.load(job_epoch - 1)["tables"] if t["id"] in job["inputs"]}
+    assert again.sweep() == []  # within the grace period
+    assert again.sweep(pinned_epochs=[job_epoch - 1], now_ms=10**15) == []
+    assert set(again.sweep(now_ms=10**15)) == retired and again.recover() == []
+    assert {r["key"]: r["value"] for r in again.state().collect()} == model
 
 
 def test_a_batch_is_stored_once(spark, tmp_path):
