@@ -56,13 +56,12 @@ def build_filters(entries: DataFrame, params: DataFrame) -> DataFrame:
 
     def partial(batches):
         for pdf in batches:
-            rows = []
             for (run, bits, hashes), own in pdf.groupby(["run_id", "num_bits", "num_hashes"]):
-                at = np.unique(positions([k.encode() for k in own["key"]], int(bits), int(hashes)).ravel() >> np.uint64(3) << np.uint64(3))
-                full = np.frombuffer(build([k.encode() for k in own["key"]], int(bits), int(hashes)), np.uint8)
-                for byte in (at >> np.uint64(3)).astype(int):
-                    rows.append((run, bits, hashes, byte, int(full[byte])))
-            yield pd.DataFrame(rows, columns=["run_id", "num_bits", "num_hashes", "byte_no", "byte"]).astype({"num_hashes": "int32"})
+                # Only bytes in which a bit is set, whatever the filter's size.
+                at = np.unique(positions([k.encode() for k in own["key"]], int(bits), int(hashes))).astype(np.int64)
+                byte_no, first = np.unique(at >> 3, return_index=True)
+                out = pd.DataFrame({"byte_no": byte_no, "byte": np.add.reduceat(np.int64(1) << (at & 7), first)})
+                yield out.assign(run_id=run, num_bits=bits, num_hashes=np.int32(hashes))[["run_id", "num_bits", "num_hashes", "byte_no", "byte"]]
 
     parts = keyed.mapInPandas(partial, "run_id long, num_bits long, num_hashes int, byte_no long, byte long")
     return parts.groupBy("run_id", "num_bits", "num_hashes", "byte_no").agg(F.bit_or("byte").cast("long").alias("byte"))
@@ -73,8 +72,11 @@ def probe(keys: DataFrame, filters: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def bits_of(key: pd.Series, bits: pd.Series, hashes: pd.Series) -> pd.Series:
-        out = [positions([k.encode()], int(b), int(h))[0].astype(np.int64) for k, b, h in zip(key, bits, hashes)]
-        return pd.Series(out)
+        out = pd.Series([None] * len(key), index=key.index, dtype=object)
+        for (b, h), own in key.groupby([bits, hashes]):
+            for i, at in zip(own.index, positions([k.encode() for k in own], int(b), int(h)).astype(np.int64)):
+                out[i] = at
+        return out
 
     sizes = filters.select("run_id", "num_bits", "num_hashes").distinct()
     asked = keys.select("run_id", "key").distinct().join(sizes, "run_id").withColumn("bit", F.explode(bits_of("key", "num_bits", "num_hashes")))
