@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from array import array
 
 import public_tokenizers
@@ -64,12 +65,16 @@ _L = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _N = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _W = "\t-\r \u0085\u00a0"
 #: The vocabularies' split patterns (fixed values) for texts of such characters.
-WORD_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_W}{_L}{_N}]+")
-BYTE_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
+#: Letters are tried first, as most pieces are words; only marks can stand where a short form begins.
+WORD_SPLIT = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^{_W}{_L}{_N}]+")
+BYTE_SPLIT = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 # Beyond these characters, or with a letter whose lower case lies beyond them, a text isn't split here.
 _BEYOND = re.compile("[^\u0000-\u024f]|[\u0130\u023a\u023e]")
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def is_latin(text: str) -> bool:
     return text.isascii() or _BEYOND.search(text) is None
 
@@ -104,8 +109,10 @@ class LibraryEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """One pre-token through the library's merges."""
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        """One pre-token through the library's merges; ASCII letters are their own byte letters."""
+        letters = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else array("I", ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""

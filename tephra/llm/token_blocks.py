@@ -37,6 +37,34 @@ def _widths(d: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(d.astype(np.float64) + 1)).astype(np.int64)
 
 
+def _pack_bits(d: np.ndarray, w: int) -> np.ndarray:
+    """The low ``w`` bits of each number of each row, one after another; rows of whole bytes (a row has a multiple of 8 numbers)."""
+    rows, n = d.shape
+    words = np.zeros((-(-n * w // 64) + 1, rows), np.uint64)
+    low = (d.T.astype(np.uint64)) & np.uint64((1 << w) - 1)
+    for i in range(n):
+        at, shift = divmod(i * w, 64)
+        words[at] |= low[i] << np.uint64(shift)
+        if shift + w > 64:
+            words[at + 1] |= low[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)[:, : n * w // 8]
+
+
+def _unpack_bits(body: np.ndarray, w: int, n: int) -> np.ndarray:
+    rows, size = body.shape
+    whole = np.zeros((rows, -(-size // 8) * 8 + 8), np.uint8)
+    whole[:, :size] = body
+    words = np.ascontiguousarray(whole.view("<u8").T)
+    out = np.empty((n, rows), np.uint32)
+    for i in range(n):
+        at, shift = divmod(i * w, 64)
+        v = words[at] >> np.uint64(shift)
+        if shift + w > 64:
+            v = v | words[at + 1] << np.uint64(64 - shift)
+        out[i] = v & np.uint64((1 << w) - 1)
+    return out.T
+
+
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
     """ids: unsigned 32-bit. An empty array gives a header without blocks."""
     if not 0 < block <= 256 or block % 8:
@@ -66,11 +94,8 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> b
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            for at in range(0, len(rows), 1024):
-                r = rows[at : at + 1024]
-                bits = ((d[r][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-                packed = np.packbits(bits.reshape(len(r), -1), axis=1, bitorder="little")
-                out[start[r][:, None] + 8 + np.arange(packed.shape[1])] = packed
+            packed = _pack_bits(d[rows], int(w))
+            out[start[rows][:, None] + 8 + np.arange(packed.shape[1])] = packed
     b, place = np.nonzero(over)
     if len(b):
         first = start[b] + 8 + width[b] * (block // 8)
@@ -94,12 +119,7 @@ def unpack(payload: bytes) -> np.ndarray:
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            for at in range(0, len(rows), 1024):
-                r = rows[at : at + 1024]
-                bits = np.unpackbits(body[start[r][:, None] + 8 + np.arange(w * block // 8)], axis=1, bitorder="little").reshape(len(r), block, w)
-                full = np.zeros((len(r), block, 32 if w > 16 else 16), np.uint8)
-                full[:, :, :w] = bits
-                d[r] = np.packbits(full, axis=2, bitorder="little").view("<u4" if w > 16 else "<u2")[:, :, 0]
+            d[rows] = _unpack_bits(body[start[rows][:, None] + 8 + np.arange(w * block // 8)], int(w), block)
     if n_over.any():
         b = np.repeat(np.arange(nb), n_over)
         first = start[b] + 8 + width[b] * (block // 8)
