@@ -12,7 +12,7 @@ from .common import fresh_path, map_texts, written
 from .encoders import file_digest, shared_encoder, tokenizer_path
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
-SALTS = 16
+SALTS = 4
 #: Counting options that are part of the cached version.
 OPTIONS = "add_special_tokens=False,truncation=None,padding=None"
 
