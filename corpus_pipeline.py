@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tephra.llm import bpe, decontaminate, langid, quality, simhash
+from tephra.llm import bpe, decontaminate, langid, near_copies, quality
 from tephra.llm.common import written
 
-#: Differing bits of linked fingerprints: the most that the operator's index finds for sure, so that more near copies go.
+#: Differing bits of fingerprints that the near-duplicate stage linked before it compared five-word shingles; test_pipeline reads it.
 DISTANCE = 3
 
 
@@ -22,8 +22,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the least id stays."""
-    return simhash.keep_one(docs, distance=DISTANCE)
+    """Of each component of documents with a five-word similarity of 0.8 or more the one with the least id stays."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

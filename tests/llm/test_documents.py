@@ -13,7 +13,7 @@ from odd import ODD_TEXTS, docs, empty
 from oracle import compare, tables
 
 import corpus_pipeline
-from tephra.llm import decontaminate, langid, quality, simhash
+from tephra.llm import decontaminate, langid, near_copies, quality, simhash
 from tephra.llm.queries import ORACLE_SQL, QUERIES
 
 WORDS = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
@@ -144,6 +144,63 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+def brute_near_copies(rows):
+    """Least key of the component of every key, over links of a five-word Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                label[root(i)] = root(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), k), k)
+    return set(least.values())
+
+
+@pytest.mark.parametrize("hot_key", [near_copies.HOT_KEY, 2])
+def test_near_copies_against_brute_force(spark, sf_dir, hot_key):
+    """Copies with a few words changed lie many bits apart and still go; less similar ones stay."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ["", None, "A b", "a  B"]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(150)]
+        for changes in (0, 1, 2, 3, 5, 9):
+            copy = list(base)
+            for at in rng.sample(range(150), changes):
+                copy[at] = f"x{rng.random()}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.keep_one(d, hot_key=hot_key)
+    want = brute_near_copies(rows)
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.count() == len(want)
+    assert simhash.keep_one(d, distance=3).count() > len(want)
+
+
+def test_near_duplicate_stage_drops_near_copies(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert {r["doc_id"] for r in kept.collect()} == brute_near_copies(rows)
+
+
+def test_near_copies_of_odd_rows(spark):
+    kept = near_copies.keep_one(docs(spark))
+    assert kept.columns == docs(spark).columns
+    assert kept.where("doc_id IS NULL").count() == 1 and kept.where("doc_id IN (22, 23)").count() == 1
+    assert near_copies.keep_one(empty(spark)).count() == 0
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     import zlib
 
