@@ -149,6 +149,46 @@ def pack_run(entries: list[tuple[str, str | None, int, bool]], block_size: int =
     return bytes(out) + filt + table + footer
 
 
+def write_sst(runs: DataFrame, folder: str) -> None:
+    """runs: run_id, key, value, seq_no, is_tombstone. Runs are cut into key ranges; each task packs its pieces on a shared file system.
+
+    A piece is a whole run file, ``range=R/RUN.sst``: it keeps its run's name, and a run is the union of its pieces.
+    """
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        part, own, entries = TaskContext.get().partitionId(), None, []
+
+        def put():
+            os.makedirs(os.path.join(folder, f"range={part}"), exist_ok=True)
+            path = os.path.join(folder, f"range={part}", f"{own:06d}.sst")
+            # Attempts of a task write apart; the last to be whole stays.
+            temporary = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
+            with open(temporary, "wb") as f:
+                f.write(pack_run(entries))
+            os.replace(temporary, path)
+            return pd.DataFrame({"run_id": [own]})
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if entries and r.run_id != own:
+                    yield put()
+                    entries = []
+                own = r.run_id
+                entries.append((r.key, None if r.is_tombstone else r.value, r.seq_no, r.is_tombstone))
+        if entries:
+            yield put()
+
+    n = max(8, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = runs.select("run_id", "key", "value", "seq_no", "is_tombstone").repartitionByRange(n, "run_id", "key")
+    ranged.sortWithinPartitions("run_id", "key").mapInPandas(run, "run_id long").count()
+
+
 def _pack_varint(value: int) -> bytes:
     out = bytearray()
     while value >= 0x80:

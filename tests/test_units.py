@@ -10,6 +10,8 @@ from tephra.functions import bloom
 from tephra.functions.sizes import bloom_bits, bloom_hashes, entry_size, record_size
 from tephra.model import EngineError, Status
 from tephra.operators import admission, compaction, folds, maintenance, resolve
+from tephra.plans import relations as R
+from tephra.plans.catalog import QUERIES
 from tephra.sources import eventlog, sst, wal
 from tephra.sources.requests import parse_requests
 
@@ -225,3 +227,9 @@ def test_config(tmp_path):
     assert load_config("tiny", tmp_path) == TINY and TINY.retired_run_grace_seconds == 30
     with pytest.raises(FileNotFoundError):
         load_config("other", tmp_path)
+
+
+def test_all_runs_pass_through_run_files(spark, sf_dir):
+    got = QUERIES["sst_scan_all"](spark, sf_dir)
+    assert {r["file"] for r in got.select("file").distinct().collect()} == {f"{i:06d}.sst" for i in range(R.RUNS)}
+    assert got.count() == R.runs(spark, sf_dir).count()
