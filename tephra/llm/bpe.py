@@ -17,12 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .encoders import BYTE_SPLIT, byte_letters, is_latin, tokenizer_path
+from .encoders import BYTE_SPLIT, CACHE_BYTES, ENTRY_BYTES, byte_letters, is_latin, tokenizer_path
 
 #: The public split pattern of this family of byte-level vocabularies (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept in a worker before the memory is emptied.
-CACHE_PIECES = 400_000
 #: Bytes of words that one flat array takes at most, but for a single longer word.
 ARRAY_BYTES = 4 << 20
 _SHIFT = np.int64(20)
@@ -30,7 +28,7 @@ _NONE = np.int64(1) << 40
 
 
 class ByteBpe:
-    def __init__(self, name_or_path: str = "byte_bpe_50k.json", pieces: int = CACHE_PIECES):
+    def __init__(self, name_or_path: str = "byte_bpe_50k.json", cache_bytes: int = CACHE_BYTES):
         with open(tokenizer_path(name_or_path), encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -49,7 +47,7 @@ class ByteBpe:
             self.token_bytes[i] = bytes(map(to_byte.__getitem__, token)) if all(c in to_byte for c in token) else token.encode()
         self.split = regex.compile(SPLIT)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.limit = pieces
+        self.limit, self.held = cache_bytes, 0
         self.words: dict[str | int, bytes] = {}
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
@@ -123,10 +121,12 @@ class ByteBpe:
             need.update(words)
         ids = {i for i in self.special.values() if i in need}
         new = (need - ids) - self.words.keys()
-        if len(self.words) + len(new) > self.limit:
-            self.words, new = {}, need - ids
+        if self.held > self.limit:  # what one batch adds is bounded by the batch itself
+            self.words, self.held, new = {}, 0, need - ids
         new = list(new)
-        self.words.update(zip(new, self.merge_words([w.encode() for w in new])))
+        merged = self.merge_words([w.encode() for w in new])
+        self.held += sum(map(len, merged)) + 4 * sum(map(len, new)) + ENTRY_BYTES * len(new)
+        self.words.update(zip(new, merged))
         self.words.update((i, i.to_bytes(4, "little")) for i in ids)
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
@@ -146,7 +146,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: st
     """Encode each whole text and decode its ids again: key, n_tokens, ids_sha256, decoded_sha256; with ``values`` also ids (bytes) and decoded.
 
     A null text counts as empty. Each row stands for itself, so repeated rows and null keys stay as they are. No
-    shuffle; a worker keeps at most CACHE_PIECES pieces.
+    shuffle; a worker keeps CACHE_BYTES of pieces and those of one batch.
     """
     more = ", ids binary, decoded string" if values else ""
 

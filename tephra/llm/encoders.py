@@ -17,8 +17,9 @@ from array import array
 
 import public_tokenizers
 
-#: Pieces kept in a worker before the memory is emptied.
-CACHE_PIECES = 400_000
+#: Bytes of pieces and their ids that a worker keeps before the memory is emptied, with what Python needs for an entry.
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 200
 
 
 def file_digest(path: str) -> str:
@@ -51,12 +52,17 @@ class _Pieces(dict):
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.held = encode, limit, 0
 
     def __missing__(self, piece):
-        if len(self) >= self.limit:
+        got = self.encode(piece)
+        size = ENTRY_BYTES + 4 * len(piece) + len(got)
+        if self.held + size > self.limit:
             self.clear()
-        got = self[piece] = self.encode(piece)
+            self.held = 0
+        if size <= self.limit:
+            self[piece] = got
+            self.held += size
         return got
 
 
@@ -69,7 +75,8 @@ _W = "\t-\r \u0085\u00a0"
 WORD_SPLIT = re.compile(f"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^{_W}{_L}{_N}]+")
 BYTE_SPLIT = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 # Beyond these characters, or with a letter whose lower case lies beyond them, a text isn't split here.
-_BEYOND = re.compile("[^\u0000-\u024f]|[\u0130\u023a\u023e]")
+_LAST = 0x24F
+_BEYOND = re.compile(f"[^\0-{chr(_LAST)}" + "]|[" + "".join(chr(c) for c in range(_LAST + 1) if any(ord(x) > _LAST for x in chr(c).lower())) + "]")
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -89,7 +96,7 @@ def byte_letters() -> list[str]:
 class LibraryEncoder:
     """Ids of whole texts as the tokenizers library gives them, without added special tokens."""
 
-    def __init__(self, name_or_path: str, pieces: int = CACHE_PIECES):
+    def __init__(self, name_or_path: str, cache_bytes: int = CACHE_BYTES):
         path = tokenizer_path(name_or_path)
         self.tokenizer = load_tokenizer(path)
         with open(path, encoding="utf-8") as f:
@@ -102,8 +109,8 @@ class LibraryEncoder:
         self.bytes = not normal and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = _Pieces(self._piece, pieces)
-        self.others = _Pieces(self._library, pieces // 8)
+        self.pieces = _Pieces(self._piece, cache_bytes)
+        self.others = _Pieces(self._library, cache_bytes // 4)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

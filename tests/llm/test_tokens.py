@@ -35,14 +35,14 @@ def raw(ids):
 
 @pytest.mark.parametrize("name", [WORD, BYTE])
 def test_encoder_is_the_library(name, spark, sf_dir):
-    encoder, tokenizer = LibraryEncoder(name, pieces=500), load_tokenizer(tokenizer_path(name))
+    encoder, tokenizer = LibraryEncoder(name, cache_bytes=100_000), load_tokenizer(tokenizer_path(name))
     texts = ODD_TEXTS + [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     for t in texts:
         assert encoder.ids(t) == raw(tokenizer.encode(t or "", add_special_tokens=False).ids), repr(t)[:80]
 
 
 def test_numpy_merges_are_the_library(spark, sf_dir):
-    bpe, tokenizer = ByteBpe(BYTE, pieces=500), load_tokenizer(tokenizer_path(BYTE))
+    bpe, tokenizer = ByteBpe(BYTE, cache_bytes=100_000), load_tokenizer(tokenizer_path(BYTE))
     texts = ODD_TEXTS + [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     for at in range(0, len(texts), 7):
         for t, ids in zip(texts[at : at + 7], bpe.encode_batch(texts[at : at + 7])):
@@ -68,6 +68,35 @@ def test_split_classes_are_those_of_unicode():
         assert encoder.ids(t) == raw(tokenizer.encode(t, add_special_tokens=False).ids)
 
 
+def random_texts(n, seed, top=0x3000):
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        low, high = [(1, 0x250), (1, top), (0x20, 0x7F)][int(rng.integers(3))]
+        codes = rng.integers(low, high, int(rng.integers(1, 14)))
+        yield "".join(" " if rng.random() < 0.1 else chr(c) for c in codes)
+
+
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_every_character_as_the_library(name):
+    """Alone, in capitals and inside words, each in a text of its own; and random mixtures."""
+    encoder, tokenizer = LibraryEncoder(name), tokenizer_of(name)
+    texts = [t for c in map(chr, range(1, 0x3000)) for t in (c, c.upper(), f"a{c}b", f"A{c}{c.upper()} X")]
+    texts += random_texts(5000, 5)
+    for t, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert encoder.ids(t) == raw(want.ids), ascii(t)
+
+
+def test_very_long_texts():
+    """Megabytes of one word, of words and of non-Latin letters, against the library."""
+    for name in (WORD, BYTE):
+        encoder, tokenizer = LibraryEncoder(name), tokenizer_of(name)
+        for t in ("ab c " * 400_000, "z" * 100_000, "\u0416\u0438 " * 200_000):
+            assert encoder.ids(t) == raw(tokenizer.encode(t, add_special_tokens=False).ids)
+    bpe = ByteBpe(BYTE)
+    for t in ("ab c " * 400_000, "z" * 100_000, "\u0416\u0438 " * 200_000):
+        assert bpe.encode_batch([t])[0] == raw(library_ids(BYTE, t)) and bpe.decode(bpe.encode_batch([t])[0]).decode() == t
+
+
 @pytest.mark.parametrize("block", [8, 128, 256])
 def test_pack_round_trip(block):
     rng = np.random.default_rng(1)
