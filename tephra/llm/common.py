@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where all share one disk, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tephra-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -58,6 +61,22 @@ def discard(df: DataFrame) -> None:
         _written.remove((df.sparkSession, path))
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables written inside are deleted at its end, but for those that were passed to the function it yields."""
+    mark, kept = len(_written), set()
+
+    def stays(df: DataFrame) -> DataFrame:
+        kept.add(df._tephra_path)
+        return df
+
+    yield stays
+    for spark, path in _written[mark:]:
+        if path not in kept:
+            _delete(spark, path)
+    _written[mark:] = [(s, p) for s, p in _written[mark:] if p in kept]
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -26,9 +26,18 @@ FAMILIES = {
 #: Labelled rows that the machines are trained on: of each language, and in all.
 TRAIN_PER_LANGUAGE = 800
 TRAIN_ROWS = 4000
+#: Languages that can be learned: the most frequent labels, ties by name. Each gets at least MIN_PER_LANGUAGE rows, so
+#: with very many languages there are more than TRAIN_ROWS in all.
+MAX_LANGUAGES = 1000
+MIN_PER_LANGUAGE = 8
 BUCKETS = 4096
-#: A document is rejected by the filter below this score.
+#: A document is rejected by the filter below this score. The machines alone never say less than a half for each of the
+#: two steps; a text in no learned language falls below by how little of it is known (see ``known``).
 MIN_SCORE = 0.25
+#: A bucket is known to a language from this share of its trigrams. Texts of which less than KNOWN_FROM of the usual
+#: share is known get no score, from KNOWN_FULL on the score is that of the machines.
+KNOWN_BUCKET = 2e-5
+KNOWN_FROM, KNOWN_FULL = 0.5, 0.8
 #: Bytes of letters counted at once.
 COUNT_BYTES = 1 << 20
 
@@ -68,56 +77,75 @@ def family_of(lang: str) -> str:
     return next((f for f, own in FAMILIES.items() if lang in own), lang)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, y in -1, +1, classes weighted alike; accelerated gradient steps."""
+def train_svm(xb: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss, y in -1, +1, classes weighted alike; accelerated gradient steps.
+
+    ``xb`` has a last column of ones, whose weight is the bias.
+    """
     y = y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    xb = np.c_[x, np.ones(len(x), np.float32)]
-    rate = np.float32(1.0 / (2 * float((weight * (xb**2).sum(axis=1)).sum()) + l2))
+    rate = np.float32(1.0 / (2 * float(weight @ np.einsum("ij,ij->i", xb, xb)) + l2))
     l2 = np.float32(l2)
     w = v = np.zeros(xb.shape[1], np.float32)
     for step in range(steps):
         slack = np.maximum(0, 1 - y * (xb @ v))
-        new = v + rate * (2 * xb.T @ (weight * y * slack) - l2 * v)
+        new = v + rate * (2 * ((weight * y * slack) @ xb) - l2 * v)
         v = new + np.float32(step / (step + 3)) * (new - w)
         w = new
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w
 
 
 @dataclass
 class LanguageModel:
-    """families: name -> languages. Machines of the families (name) and of pairs of languages (a, b), a wins above 0."""
+    """families: name -> languages. Machines of the families (name) and of pairs of languages (a, b), a wins above 0.
+
+    ``known`` has a row for each language: which buckets its texts fill; ``usual`` what share of its texts they hold.
+    """
 
     families: dict[str, list[str]]
     names: list
     weights: np.ndarray
     bias: np.ndarray
+    langs: list[str]
+    known: np.ndarray
+    usual: np.ndarray
 
     @classmethod
-    def train(cls, x: np.ndarray, langs: list[str]) -> LanguageModel:
+    def train(cls, xb: np.ndarray, langs: list[str]) -> LanguageModel:
+        """``xb``: trigram frequencies and a column of ones; it is scaled in place."""
         families: dict[str, list[str]] = {}
-        for lang in sorted(set(langs)):
+        own = sorted(set(langs))
+        for lang in own:
             families.setdefault(family_of(lang), []).append(lang)
         lang, family = np.array(langs, object), np.array([family_of(v) for v in langs], object)
-        scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(BUCKETS, np.float32)
-        scaled = (x * scale).astype(np.float32)
-        names, weights, bias = [], [], []
-        jobs = [(f, np.ones(len(x), bool), family == f) for f in families] if len(families) > 1 else []
-        jobs += [((a, b), (lang == a) | (lang == b), lang == a) for own in families.values() for a, b in combinations(own, 2)]
+        x = xb[:, :-1]
+        known, usual = np.zeros((len(own), BUCKETS), bool), np.ones(len(own))
+        for i, name in enumerate(own):
+            rows = np.flatnonzero(lang == name)
+            total = np.zeros(BUCKETS)
+            for at in range(0, len(rows), 256):
+                total += x[rows[at : at + 256]].sum(axis=0)
+            known[i] = total / len(rows) >= KNOWN_BUCKET
+            usual[i] = max(1e-6, np.median([x[r][known[i]].sum() for r in rows]))
+        scale = (1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(BUCKETS)).astype(np.float32)
+        x *= scale
+        names, weights = [], []
+        jobs = [(f, None, family == f) for f in families] if len(families) > 1 else []
+        jobs += [((a, b), (lang == a) | (lang == b), lang == a) for some in families.values() for a, b in combinations(some, 2)]
         for name, rows, positive in jobs:
-            w, b = train_svm(scaled[rows], np.where(positive[rows], 1.0, -1.0))
             names.append(name)
-            weights.append(w * scale)
-            bias.append(b)
-        return cls(families, names, np.array(weights, np.float32).reshape(len(names), BUCKETS), np.array(bias))
+            weights.append(train_svm(xb if rows is None else xb[rows], np.where(positive if rows is None else positive[rows], 1.0, -1.0)))
+        w = np.array(weights, np.float32).reshape(len(names), BUCKETS + 1)
+        return cls(families, names, w[:, :-1] * scale, w[:, -1].astype(float), own, known, usual)
 
     def predict(self, letters: list[bytes]) -> list[tuple[str, float]]:
         """Language and score; ``und`` and 0 for a text without letters, or if nothing was learned."""
-        margins = counts(letters) @ self.weights.T + self.bias if self.names else np.zeros((len(letters), 0))
+        x = counts(letters)
+        margins = x @ self.weights.T + self.bias if self.names else np.zeros((len(letters), 0))
         sure = 1 / (1 + np.exp(-4 * np.clip(margins, -20, 20)))
-        at = {n: i for i, n in enumerate(self.names)}
+        at, row = {n: i for i, n in enumerate(self.names)}, {n: i for i, n in enumerate(self.langs)}
         out = []
-        for raw, m, p in zip(letters, margins, sure):
+        for raw, f, m, p in zip(letters, x, margins, sure):
             if not raw or not self.families:
                 out.append(("und", 0.0))
                 continue
@@ -133,7 +161,9 @@ class LanguageModel:
                 score *= min(float(p[at[a, b]] if a == best else 1 - p[at[a, b]]) for a, b in combinations(own, 2) if best in (a, b))
             else:
                 best = own[0]
-            out.append((best, score))
+            i = row[best]
+            share = float(f[self.known[i]].sum()) / self.usual[i]
+            out.append((best, score * min(1.0, max(0.0, (share - KNOWN_FROM) / (KNOWN_FULL - KNOWN_FROM)))))
         return out
 
 
@@ -143,25 +173,33 @@ def held_out(key: str):
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Train on rows that aren't held out and have a label: at most TRAIN_PER_LANGUAGE of each language and TRAIN_ROWS in all, picked by the key's hash."""
+    """Train on rows that aren't held out and have a label, picked by the key's hash.
+
+    At most TRAIN_PER_LANGUAGE of each of the MAX_LANGUAGES most frequent languages, and TRAIN_ROWS or MIN_PER_LANGUAGE
+    of each in all. A rarer label can't be learned. The sample reaches the driver as the filled buckets alone.
+    """
     rows = docs.where(F.col(lang).isNotNull() & ~held_out(key))  # counted without reading the texts
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(TRAIN_ROWS // 8).collect()}
-    each = min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // max(1, len(sizes)))
-    part = F.lit(0.0)
-    for name, n in sizes.items():
-        part = F.when(F.col(lang) == name, min(1.0, 0.9 * each / n) if n > each else 1.0).otherwise(part)
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
+    each = max(MIN_PER_LANGUAGE, min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // max(1, len(sizes))))
+    parts = [F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, 0.9 * each / n) if n > each else 1.0)]
+    part = F.coalesce(F.create_map(*parts)[F.col(lang)], F.lit(0.0)) if parts else F.lit(0.0)
     picked = rows.where(F.col(text).isNotNull()).where(F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(1 << 30)) < part * (1 << 30)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def make():
         def run(batch: pa.RecordBatch):
             got = counts([letters_of(t) for t in batch.column(1).to_pylist()])
-            return {"lang": batch.column(0), "x": [r.astype("<f4").tobytes() for r in got]}
+            filled = [np.flatnonzero(r) for r in got]
+            return {"lang": batch.column(0), "at": [i.astype("<u2").tobytes() for i in filled], "share": [r[i].astype("<f4").tobytes() for r, i in zip(got, filled)]}
 
         return run
 
-    sample = map_texts(picked, make, "lang string, x binary", rows=64).limit(TRAIN_ROWS).collect()
-    x = np.frombuffer(b"".join(r["x"] for r in sample), "<f4").reshape(-1, BUCKETS)
-    return LanguageModel.train(x, [r["lang"] for r in sample])
+    bound = max(TRAIN_ROWS, MIN_PER_LANGUAGE * len(sizes))
+    sample = map_texts(picked, make, "lang string, at binary, share binary", rows=64).limit(bound).collect()
+    xb = np.zeros((len(sample), BUCKETS + 1), np.float32)
+    xb[:, -1] = 1
+    for i, r in enumerate(sample):
+        xb[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["share"], "<f4")
+    return LanguageModel.train(xb, [r["lang"] for r in sample])
 
 
 def _predicted(rows: DataFrame, model: LanguageModel, schema: str) -> DataFrame:
@@ -191,7 +229,11 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is found with a score of at least ``min_score``."""
+    """The rows of ``docs``, with their columns, whose language is found with a score of at least ``min_score``.
+
+    A null text, one without letters and one in no learned language go. A row is judged by its text alone: repeated rows
+    stay or go together, null keys are kept like others, an empty table stays empty. If nothing could be learned, all go.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, key, text, lang))
     place = docs.columns.index(text)
 

@@ -1,8 +1,15 @@
-"""Near copies by five-word shingles: MinHash bands find candidate pairs, the exact similarity decides.
+"""Near copies by five-word shingles: SimHash and MinHash candidates, of which the exact similarity decides.
 
 Two texts are linked if the Jaccard similarity of their sets of SHINGLE words in a row is SIMILARITY or more. Candidates
-share one of BANDS keys, each of ROWS least hashes: a pair of similarity s is missed with probability (1 - s^5)^32, which
-is 3 in a million at 0.8 and less above. Only texts of different words are indexed: copies are one row there.
+come from the SimHash index (fingerprints of the same shingles within MAX_DISTANCE bits) and, as similar texts can lie
+many bits apart, from BANDS keys, each of ROWS least hashes: a pair of similarity s has no key in common with
+probability (1 - s^5)^32, which is 3 in a million at 0.8 and less above. Only texts of different words are indexed:
+copies are one row there.
+
+A key that at most HOT_KEY texts have gives all its pairs. Under a hotter one each text is first compared with PIVOTS of
+them, which joins a large group of near copies in one component. Pairs of one component need no comparison. What lies in
+several components under one hot key is indexed a second time by keys of more hashes, and pairs across components are
+compared there: none is dropped, and a large group costs comparisons in proportion to its size.
 """
 
 from __future__ import annotations
@@ -13,43 +20,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_texts, written
-from .simhash import _LOWER, SEED, components
+from .common import discard, map_texts, scratch, written
+from .simhash import MAX_DISTANCE, SEED, components, majority, shingle_hashes, words_of
+from .simhash import links as simhash_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-#: Different texts under one key from which they are compared with PIVOTS of them, not all with each other.
+#: The second index: a pair at 0.8 has no key in common with probability (1 - 0.8^10)^128, 5 in ten million.
+SECOND_BANDS, SECOND_ROWS = 128, 10
+#: Different texts under one key from which they are first compared with PIVOTS of them, not all with each other.
 HOT_KEY, PIVOTS = 64, 8
+SALTS = 8
 
-_RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
+class Bands:
+    """Keys of sets of shingles: each of ``bands`` keys mixes the least of ``rows`` permuted hashes."""
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode().translate(_LOWER).split() if text else []
+    def __init__(self, bands: int, rows: int, seed: int):
+        random = np.random.default_rng(seed)
+        odd = lambda n: random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.shape, self.factors, self.mix = (bands, rows), odd(bands * rows), odd(rows)
+        self.terms = random.integers(0, 1 << 63, bands * rows, np.uint64)
 
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """The keys as signed longs."""
+        least = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
+            np.minimum(least, (hashes[at : at + 1024, None] * self.factors + self.terms).min(axis=0), out=least)
+        return (least.reshape(self.shape) * self.mix).sum(axis=1, dtype=np.uint64).view(np.int64)
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; of a text with fewer words, one hash of them all."""
-    words = _words(text)
-    flat, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        return np.array([h(flat, SEED)], np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size).tolist()
-    return np.unique(np.array([h(flat[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())], np.uint64))
 
+_FIRST = Bands(BANDS, ROWS, SEED)
+_SECOND = Bands(SECOND_BANDS, SECOND_ROWS, SEED + 1)
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set of shingles, as signed longs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
-        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0), out=least)
-    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+def _id(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; without words that of the empty text."""
+    return np.unique(shingle_hashes(words, SHINGLE)) if words else np.array([_id(words)], np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -58,57 +70,82 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, id (a hash of the text's words: equal for copies) and bands of every row; a null text counts as one without words."""
+    """key, id (a hash of the text's words: equal for copies), fp (SimHash of the shingles) and bands of every row; a null text counts as one without words."""
     kind = dict(docs.dtypes)[key]
 
     def make():
         def run(batch: pa.RecordBatch):
-            texts = batch.column(1).to_pylist()
-            ids = np.array([xxhash.xxh64_intdigest(b" ".join(_words(t)), SEED) for t in texts], np.uint64).view(np.int64)
-            return {"key": batch.column(0), "id": ids, "bands": pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))}
+            ids, prints, bands = [], [], []
+            for t in batch.column(1).to_pylist():
+                words = words_of(t)
+                hashes = shingle_hashes(words, SHINGLE)
+                ids.append(_id(words))
+                prints.append(majority(hashes))
+                bands.append(_FIRST.keys(np.unique(hashes) if words else np.array([_id(words)], np.uint64)))
+            return {"key": batch.column(0), "id": np.array(ids, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64), "bands": pa.array(bands, pa.list_(pa.int64()))}
 
         return run
 
-    return map_texts(docs.select(docs[key].alias("key"), docs[text].alias("text")), make, f"key {kind}, id long, bands array<long>").withColumnRenamed("key", key)
+    return map_texts(docs.select(docs[key].alias("key"), docs[text].alias("text")), make, f"key {kind}, id long, fp long, bands array<long>").withColumnRenamed("key", key)
 
 
-def candidates(classes: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """Pairs (a, b), a < b, of ids (columns id, bands) that share a band; each pair once.
-
-    Under a key with more than ``hot_key`` ids each is paired with PIVOTS of them, so a large group of near copies gives
-    pairs in proportion to its size; its other links come from the other bands.
-    """
-    keyed = classes.select("id", F.posexplode("bands").alias("band", "h"))
-    on = ["band", "h"]
+def _shared(keyed: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``keyed`` under keys that several ids have, with their number n."""
     sizes = keyed.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    shared = written(keyed.join(sizes, on), "band-keys")  # rows under keys that one text alone has are gone
-    cold, hot = shared.where(F.col("n") <= hot_key).drop("n"), shared.where(F.col("n") > hot_key).drop("n")
-    plain = cold.withColumnRenamed("id", "a").join(cold.withColumnRenamed("id", "b"), on).where(F.col("a") < F.col("b")).select("a", "b")
-    pivots = hot.groupBy(*on, F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("pivot")).agg(F.min("id").alias("p")).drop("pivot")
-    others = hot.join(pivots, on).where(F.col("id") != F.col("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    return plain.unionByName(others).distinct()
-
-
-def links(docs: DataFrame, classes: DataFrame, key: str, text: str, hot_key: int = HOT_KEY) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of similar texts. Only texts in candidate pairs are cut into shingles again."""
-    pairs = written(candidates(classes, hot_key), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # One row of each wanted text: of the rows with a class's least key those with its id.
+    return keyed.join(sizes, on)
+
+
+def _pairs(rows: DataFrame, on: list[str], across: bool = False) -> DataFrame:
+    """All pairs (a, b), a < b, of ids under one key; with ``across`` only those of different roots."""
+    own = [*on, "id", *(["root"] if across else [])]
+    x, y = rows.select(*own).alias("x"), rows.select(*own).alias("y")
+    cond = F.col("x.id") < F.col("y.id")
+    for c in on:
+        cond = cond & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    if across:
+        cond = cond & (F.col("x.root") != F.col("y.root"))
+    return x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _pivot_pairs(hot: DataFrame, on: list[str]) -> DataFrame:
+    """Each id with the least ids of PIVOTS hash classes under its key. A key may have a third of all ids: its pivots are copied under salts."""
+    pivots = hot.groupBy(*on, F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("_class")).agg(F.min("id").alias("p")).drop("_class")
+    pivots = pivots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = hot.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    return rows.join(pivots, [*on, "_salt"]).where(F.col("id") != F.col("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+
+
+def _simhash_pairs(classes: DataFrame) -> DataFrame:
+    """The least id of a fingerprint with its other ids, and the least ids of linked fingerprints: in proportion to the ids and links."""
+    least = classes.groupBy("fp").agg(F.min("id").alias("p"))
+    same = classes.join(least, "fp").where(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    linked = simhash_links(least.select("fp"), distance=MAX_DISTANCE)
+    near = linked.join(least.select(F.col("fp").alias("a"), F.col("p").alias("pa")), "a").join(least.select(F.col("fp").alias("b"), F.col("p").alias("pb")), "b")
+    return same.unionByName(near.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """id and set (shingles) of the wanted ids: of the rows with a class's least key those with its words, each id once."""
     chosen = classes.join(wanted, "id", "left_semi").select("id", F.col("least").alias("_k"))
 
-    def cut():
+    def make():
         def run(batch: pa.RecordBatch):
-            texts = batch.column(1).to_pylist()
-            own = np.array([xxhash.xxh64_intdigest(b" ".join(_words(t)), SEED) for t in texts], np.uint64).view(np.int64)
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            own = np.array([_id(w) for w in words], np.uint64).view(np.int64)
             keep = np.flatnonzero(own == batch.column(0).to_numpy())
-            return {"id": own[keep], "set": pa.array([shingles(texts[i]).view(np.int64) for i in keep.tolist()], pa.list_(pa.int64()))}
+            return {"id": own[keep], "set": pa.array([shingles(words[i]).view(np.int64) for i in keep.tolist()], pa.list_(pa.int64()))}
 
         return run
 
-    sets = map_texts(docs.join(chosen, docs[key] == F.col("_k")).select("id", text), cut, "id long, set array<long>")
-    sets = written(sets.dropDuplicates(["id"]), "shingle-sets")
+    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).join(chosen, F.col("_key") == F.col("_k"))
+    sets = map_texts(rows.select("id", "_text"), make, "id long, set array<long>", rows=64)
+    return sets.dropDuplicates(["id"])
+
 
-    def compare():
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose exact similarity is SIMILARITY or more."""
+
+    def make():
         def run(batch: pa.RecordBatch):
             a, b = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
             keep = pa.array([similarity(x, y) >= SIMILARITY for x, y in zip(a, b)], pa.bool_())
@@ -116,8 +153,64 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str, hot_key: int
 
         return run
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return written(map_texts(both.select("a", "b", "x", "y"), compare, "a long, b long"), "similar")
+    # A pair whose sizes differ too much can't be similar: known before its sets are moved.
+    sized = sets.select("id", F.size("set").alias("size"))
+    both = pairs.join(sized.withColumnsRenamed({"id": "a", "size": "sa"}), "a").join(sized.withColumnsRenamed({"id": "b", "size": "sb"}), "b")
+    fit = both.where(F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb")).select("a", "b")
+    filled = fit.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return map_texts(filled.select("a", "b", "x", "y"), make, "a long, b long", rows=256)
+
+
+def _crossing(hot: DataFrame, on: list[str], roots: DataFrame) -> DataFrame:
+    """The rows (with root) of hot keys under which several components lie."""
+    named = hot.select(*on, "id").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).select(*on, "id", "root")
+    mixed = named.groupBy(on).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(F.col("_lo") < F.col("_hi"))
+    return named.join(mixed.select(*on), on, "left_semi")
+
+
+def link_roots(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
+    """node and root (least id of its component) of all ids with a link. ``classes``: written; id, least (key), fp and bands of the different texts."""
+    first = ["band", "h"]
+    shared = written(_shared(classes.select("id", F.posexplode("bands").alias(*first)), first), "band-keys")  # rows under keys that one text alone has are gone
+    hot = shared.where(F.col("n") > hot_key)
+    found = _pairs(shared.where(F.col("n") <= hot_key), first).unionByName(_pivot_pairs(hot, first)).unionByName(_simhash_pairs(classes))
+    pairs = written(found.distinct(), "candidates")
+    sets = written(_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), key, text), "shingle-sets")
+    similar = written(_similar(pairs, sets), "similar")
+    roots = components(similar)
+    rest = written(_crossing(hot, first, roots), "crossing")
+    if not rest.isEmpty():
+        second = ["h"]
+
+        def make():
+            def run(batch: pa.RecordBatch):
+                keys = [_SECOND.keys(np.asarray(s, np.int64).view(np.uint64)) for s in batch.column(2).to_numpy(zero_copy_only=False)]
+                return {"id": batch.column(0), "root": batch.column(1), "bands": pa.array(keys, pa.list_(pa.int64()))}
+
+            return run
+
+        again = map_texts(rest.select("id", "root").distinct().join(sets, "id").select("id", "root", "set"), make, "id long, root long, bands array<long>", rows=64)
+        shared = written(_shared(again.select("id", "root", F.explode("bands").alias("h")), second), "second-keys")
+        hot = shared.where(F.col("n") > hot_key)
+        across = _pairs(shared.where(F.col("n") <= hot_key), second, across=True).unionByName(_pivot_pairs(hot, second)).distinct()
+        similar = written(similar.unionByName(_similar(across, sets)), "similar")
+        roots = components(similar)
+        last = written(_crossing(hot, second, roots), "crossing")
+        if not last.isEmpty():  # texts near the limit of similarity: those of different components are compared one by one
+            similar = written(similar.unionByName(_similar(_pairs(last, second, across=True).distinct(), sets)), "similar")
+            roots = components(similar)
+    return roots
+
+
+def kept_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
+    """_keep: the least key of every component of the rows with a key, each once. Written; all that was written before goes."""
+    with scratch() as stays:
+        signed = written(signatures(docs, key, text), "signatures")
+        classes = written(signed.groupBy("id").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+        discard(signed)
+        roots = link_roots(docs, classes, key, text, hot_key)
+        of_class = classes.join(roots, F.col("id") == F.col("node"), "left").select("least", F.coalesce("root", "id").alias("root"))
+        return stays(written(of_class.groupBy("root").agg(F.min("least").alias("_keep")).select("_keep").distinct(), "kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
@@ -126,11 +219,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_key:
     Rows with a null key can't be named by a component: they are left out of the comparison, and one of each text stays.
     """
     named = docs.where(F.col(key).isNotNull())
-    signed = written(signatures(named, key, text), "signatures")
-    classes = written(signed.groupBy("id").agg(F.min(key).alias("least"), F.first("bands").alias("bands")), "classes")
-    discard(signed)
-    roots = components(links(named, classes, key, text, hot_key))
-    of_class = classes.join(roots, F.col("id") == F.col("node"), "left").select("least", F.coalesce("root", "id").alias("root"))
-    keep = of_class.groupBy("root").agg(F.min("least").alias("_keep")).select("_keep").distinct()
+    keep = kept_keys(named, key, text, hot_key)
     rows = named.join(keep, F.col(key) == F.col("_keep"), "left_semi").dropDuplicates([key])
     return rows.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))

@@ -3,12 +3,15 @@
 Two 64-bit fingerprints that differ in at most two bits are cut into two segments of 32 bits; in one segment they
 differ in at most one bit. So each segment is indexed under 32 keys, each with one bit taken out, and fingerprints
 that share a key are compared. Only distinct fingerprints are indexed: copies are one row there. A key under which
-very many distinct fingerprints lie is indexed a second time by the quarters of the other segment, which is exact for
-the same reason, so no key's rows are all compared with each other.
+very many distinct fingerprints lie is indexed a second time by the halves of the other segment, and a third time by the
+halves of the rest, which is exact for the same reason. Fingerprints under a key of the third index agree in 53 bits, so
+at most 2,048 lie there, however many rows there are.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,31 +26,42 @@ SHINGLE = 3
 DISTANCE = 2
 MAX_DISTANCE = 3
 SEED = 42
-#: Distinct fingerprints under one key from which the key is indexed a second time.
+#: Distinct fingerprints under one key from which the key is indexed a second or third time.
 HOT_KEY = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash; 0 for a text without words (or null)."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+def words_of(text: str | None) -> list[bytes]:
+    """UTF-8 words between white space, A-Z lower-cased."""
+    return text.encode().translate(_LOWER).split() if text else []
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the shingles in order, repeats included; of fewer words one hash of them all, of none an empty array."""
+    h = xxhash.xxh64_intdigest
     flat = b" ".join(words)
+    if len(words) < shingle:
+        return np.array([h(flat, SEED)] if words else [], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size).tolist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(flat[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    return np.array([h(flat[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 for none."""
     set_in = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         set_in += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_in > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash; 0 for a text without words (or null)."""
+    return majority(shingle_hashes(words_of(text), shingle))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and fp (signed long with the fingerprint's bits) of every row; a null text counts as one without words."""
     kind = dict(docs.dtypes)[key]
@@ -61,7 +75,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_texts(docs.select(docs[key].alias("key"), docs[text].alias("text")), make, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
-def _segment_keys(df: DataFrame, value: str, lows: list[int], bits: int, names: tuple[str, str, str]) -> DataFrame:
+def _segment_keys(df: DataFrame, value: str, lows: list[int], bits: int, names: list[str]) -> DataFrame:
     """A row for each segment (its lowest bit in ``lows``) and each of its ``bits`` bits taken out: segment, bit, what is left."""
     segment, bit, left = names
     part = lambda low: F.shiftrightunsigned(F.col(value), low).bitwiseAND(F.lit((1 << bits) - 1))
@@ -78,35 +92,46 @@ def links(distinct: DataFrame, hot_key: int = HOT_KEY, distance: int = DISTANCE)
     """
     if not 0 <= distance <= MAX_DISTANCE:
         raise ValueError(f"the index finds pairs of at most {MAX_DISTANCE} differing bits")
-    keyed = _segment_keys(distinct, "fp", [0, 32], 32, ("seg", "bit", "rest"))
-    sizes = keyed.groupBy("seg", "bit", "rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    near = lambda: F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    # Each fingerprint becomes 64 rows: they are dealt out before, as the table itself lies in few files.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     on = ["seg", "bit", "rest"]
+    shared = written(_hot_counted(_segment_keys(distinct.repartition(tasks, "fp"), "fp", [0, 32], 32, on), on), "simhash-keys")
+    near = lambda: F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
     def pairs(rows: DataFrame, by: list[str], first) -> DataFrame:
-        a, b = rows.withColumnRenamed("fp", "a"), rows.withColumnRenamed("fp", "b")
-        x, y = a.alias("x"), b.alias("y")
+        x, y = rows.withColumnRenamed("fp", "a").alias("x"), rows.withColumnRenamed("fp", "b").alias("y")
         cond = F.col("a") < F.col("b")
         for c in by:
             cond = cond & (F.col(f"x.{c}") == F.col(f"y.{c}"))
         return x.join(y, cond & near() & first).select("a", "b")
 
-    shared = written(keyed.join(sizes, on), "simhash-keys")  # rows under keys that one fingerprint alone has are gone
     diff = F.col("a").bitwiseXOR(F.col("b"))
     low, high = diff.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(diff, 32)
     seg, bit = F.col("x.seg"), F.col("x.bit")
-    here, other = F.when(seg == 0, low).otherwise(high), F.when(seg == 0, high).otherwise(low)
+    here = F.when(seg == 0, low).otherwise(high)
     # The first key of a pair: the low segment if it differs in at most one bit there; that bit, or bit 0 if none differs.
     first = ((seg == 0) | (F.bit_count(low) > 1)) & F.when(here == 0, bit == 0).otherwise(F.expr("shiftleft(1L, x.bit)") == here)
-    plain = pairs(shared.where(F.col("n") <= hot_key).select("fp", *on), on, first)
-    hot = shared.where(F.col("n") > hot_key)
-    second = None
-    for s, lows in ((0, [32, 48]), (32, [0, 16])):
-        rows = _segment_keys(hot.where(F.col("seg") == s).select("fp", *on), "fp", lows, 16, ("quarter", "bit2", "rest2"))
-        second = rows if second is None else second.unionByName(rows)
-    by = [*on, "quarter", "bit2", "rest2"]
-    again = pairs(second, by, first).distinct()
-    return plain.unionByName(again)
+    plain = pairs(shared.where(F.col("n") <= hot_key).drop("n"), on, first)
+    hot = shared.where(F.col("n") > hot_key).drop("n")
+    if hot.isEmpty():
+        return plain
+    # The halves of the other segment, then of the half that isn't shared: one of two halves again differs in at most one bit.
+    by2, by3 = [*on, "quarter", "bit2", "rest2"], [*on, "quarter", "bit2", "rest2", "eighth", "bit3", "rest3"]
+    second = _all([_segment_keys(hot.where(F.col("seg") == s), "fp", [32 - s, 48 - s], 16, by2[3:]) for s in (0, 32)])
+    second = written(_hot_counted(second, by2), "simhash-second")
+    deep = second.where(F.col("n") > hot_key).drop("n")
+    third = _all([_segment_keys(deep.where(F.col("quarter") == q), "fp", [o, o + 8], 8, by3[6:]) for q, o in ((0, 16), (16, 0), (32, 48), (48, 32))])
+    again = pairs(second.where(F.col("n") <= hot_key).drop("n"), by2, first).unionByName(pairs(third, by3, first))
+    return plain.unionByName(again.distinct())
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _hot_counted(keyed: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``keyed`` with the number n of rows under their key; rows under keys that one fingerprint alone has are gone."""
+    return keyed.join(keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), on)
 
 
 def components(edges: DataFrame) -> DataFrame:

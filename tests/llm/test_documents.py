@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from odd import ODD_TEXTS, docs, empty
 from oracle import compare, tables
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tephra.llm import decontaminate, langid, near_copies, quality, simhash
@@ -167,7 +168,7 @@ def brute_near_copies(rows):
     return set(least.values())
 
 
-@pytest.mark.parametrize("hot_key", [near_copies.HOT_KEY, 2])
+@pytest.mark.parametrize("hot_key", [near_copies.HOT_KEY, 2, 0])
 def test_near_copies_against_brute_force(spark, sf_dir, hot_key):
     """Copies with a few words changed lie many bits apart and still go; less similar ones stay."""
     rng = random.Random(7)
@@ -188,6 +189,36 @@ def test_near_copies_against_brute_force(spark, sf_dir, hot_key):
     assert simhash.keep_one(d, distance=3).count() > len(want)
 
 
+def test_hot_keys_lose_no_link(spark):
+    """Families that share much but not enough stand under the same hot keys: links inside them are found without the pivots."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(90)]
+    texts = []
+    for family in range(12):
+        base = [*common, *(f"f{family}_{i}" for i in range(40))]
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(90, 130), 2):
+                copy[at] = f"x{rng.random()}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near_copies(rows)
+    assert 1 < len(want) < len(rows)
+    for hot_key in (0, 3):
+        assert {r["doc_id"] for r in near_copies.keep_one(d, hot_key=hot_key).collect()} == want
+
+
+def test_large_group_gives_no_square_of_pairs(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = near_copies.signatures(d).withColumnRenamed("doc_id", "least")
+    keyed = near_copies._shared(classes.select("id", F.posexplode("bands").alias("band", "h")), ["band", "h"])
+    assert near_copies._pivot_pairs(keyed.where("n > 64"), ["band", "h"]).distinct().count() <= 200 * 32
+    assert near_copies.keep_one(d).count() == 1
+
+
 def test_near_duplicate_stage_drops_near_copies(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
@@ -226,6 +257,30 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == d.columns and kept.where("doc_id IN (0, 1, 2, 3, 17)").count() == 0 and kept.where("doc_id = 18").count() == 1
 
 
+def test_unlearned_languages_are_rejected(spark, sf_dir):
+    """Letters of no learned language: the machines still name one, but hardly any of the text is known."""
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    other = ["Привет мир как дела сегодня хорошо", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgZGF0YQ", "日本語のテキストです"]
+    more = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(other)], known.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(known.unionByName(more)).collect()}
+    assert not kept & {10_000_000, 10_000_001, 10_000_002}
+    assert len(kept) >= 0.99 * known.count()
+
+
+def test_rare_labels_are_learned():
+    """Nearly a thousand languages: each pair's machine sees its own rows."""
+    rng = np.random.default_rng(5)
+    xb = np.zeros((60 * 8, langid.BUCKETS + 1), np.float32)
+    langs = [f"l{i % 60:03d}" for i in range(len(xb))]
+    for i in range(len(xb)):
+        xb[i, rng.integers(0, 40, 30) + 40 * (i % 60)] = 1 / 30
+        xb[i, -1] = 1
+    x = xb[:, :-1].copy()
+    model = langid.LanguageModel.train(xb, langs)
+    margins = x @ model.weights.T + model.bias
+    assert [model.names[i] for i in margins.argmax(axis=1)] == langs
+
+
 def test_quality_separates_labels(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
@@ -281,8 +336,7 @@ def test_pipeline(spark, sf_dir):
         assert after.columns == start.columns
         ids = {r["doc_id"] for r in after.select("doc_id").collect()}
         if name == "near_duplicates":
-            rows = now.select("doc_id", "text").collect()
-            assert ids == set(brute_components([r["doc_id"] for r in rows], [brute_fingerprint(r["text"]) for r in rows], corpus_pipeline.DISTANCE))
+            assert ids == brute_near_copies([tuple(r) for r in now.select("doc_id", "text").collect()])
         if name == "decontaminate":
             items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
             assert ids == {r["doc_id"] for r in now.collect() if not scan(r["text"], items)[4]}
