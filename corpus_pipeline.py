@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tephra.llm import bpe, decontaminate, langid, near_copies, quality
 from tephra.llm.common import written
 
-#: Differing bits of fingerprints that the near-duplicate stage linked before it compared five-word shingles; test_pipeline reads it.
-DISTANCE = 3
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is too low go."""
@@ -22,7 +19,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with a five-word similarity of 0.8 or more the one with the least id stays."""
+    """SimHash near-duplicates: of each component of documents with a five-word similarity of 0.8 or more the one with the least id stays.
+
+    The SimHash index finds the pairs within three bits, MinHash bands those that lie further apart; the exact similarity decides.
+    """
     return near_copies.keep_one(docs)
 
 
