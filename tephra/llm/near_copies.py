@@ -6,10 +6,10 @@ many bits apart, from BANDS keys, each of ROWS least hashes: a pair of similarit
 probability (1 - s^5)^32, which is 3 in a million at 0.8 and less above. Only texts of different words are indexed:
 copies are one row there.
 
-A key that at most HOT_KEY texts have gives all its pairs. Under a hotter one each text is first compared with PIVOTS of
-them, which joins a large group of near copies in one component. Pairs of one component need no comparison. What lies in
-several components under one hot key is indexed a second time by keys of more hashes, and pairs across components are
-compared there: none is dropped, and a large group costs comparisons in proportion to its size.
+A key that at most HOT_KEY texts have gives all its pairs. Under a hotter one each text is compared with one of them
+first, which joins a large group of near copies in one component. Pairs of one component need no comparison. What lies in
+several components under one hot key, such as texts around one common passage, is indexed a second time by its rarest
+shingles (prefix filter): two sets of similarity 0.8 have one of their rarest fifth in common, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -27,32 +27,23 @@ from .simhash import links as simhash_links
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-#: The second index: a pair at 0.8 has no key in common with probability (1 - 0.8^10)^128, 5 in ten million.
-SECOND_BANDS, SECOND_ROWS = 128, 10
-#: Different texts under one key from which they are first compared with PIVOTS of them, not all with each other.
-HOT_KEY, PIVOTS = 64, 8
+#: Different texts under one key from which they are first compared with one of them, not all with each other.
+HOT_KEY = 64
 SALTS = 8
 
 
-class Bands:
-    """Keys of sets of shingles: each of ``bands`` keys mixes the least of ``rows`` permuted hashes."""
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __init__(self, bands: int, rows: int, seed: int):
-        random = np.random.default_rng(seed)
-        odd = lambda n: random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shape, self.factors, self.mix = (bands, rows), odd(bands * rows), odd(rows)
-        self.terms = random.integers(0, 1 << 63, bands * rows, np.uint64)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """The keys as signed longs."""
-        least = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
-            np.minimum(least, (hashes[at : at + 1024, None] * self.factors + self.terms).min(axis=0), out=least)
-        return (least.reshape(self.shape) * self.mix).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-_FIRST = Bands(BANDS, ROWS, SEED)
-_SECOND = Bands(SECOND_BANDS, SECOND_ROWS, SEED + 1)
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of shingles, as signed longs."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):  # bounded memory for very long texts
+        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0), out=least)
+    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def _id(words: list[bytes]) -> int:
@@ -75,14 +66,14 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def make():
         def run(batch: pa.RecordBatch):
-            ids, prints, bands = [], [], []
+            ids, prints, keys = [], [], []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
                 hashes = shingle_hashes(words, SHINGLE)
                 ids.append(_id(words))
                 prints.append(majority(hashes))
-                bands.append(_FIRST.keys(np.unique(hashes) if words else np.array([_id(words)], np.uint64)))
-            return {"key": batch.column(0), "id": np.array(ids, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64), "bands": pa.array(bands, pa.list_(pa.int64()))}
+                keys.append(bands(np.unique(hashes) if words else np.array([_id(words)], np.uint64)))
+            return {"key": batch.column(0), "id": np.array(ids, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64), "bands": pa.array(keys, pa.list_(pa.int64()))}
 
         return run
 
@@ -95,24 +86,34 @@ def _shared(keyed: DataFrame, on: list[str]) -> DataFrame:
     return keyed.join(sizes, on)
 
 
-def _pairs(rows: DataFrame, on: list[str], across: bool = False) -> DataFrame:
-    """All pairs (a, b), a < b, of ids under one key; with ``across`` only those of different roots."""
-    own = [*on, "id", *(["root"] if across else [])]
-    x, y = rows.select(*own).alias("x"), rows.select(*own).alias("y")
-    cond = F.col("x.id") < F.col("y.id")
-    for c in on:
-        cond = cond & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    if across:
-        cond = cond & (F.col("x.root") != F.col("y.root"))
-    return x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def _pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+    """All pairs (a, b), a < b, of ids under one key."""
+    x, y = rows.select(*on, F.col("id").alias("a")), rows.select(*on, F.col("id").alias("b"))
+    return x.join(y, on).where(F.col("a") < F.col("b")).select("a", "b")
 
 
 def _pivot_pairs(hot: DataFrame, on: list[str]) -> DataFrame:
-    """Each id with the least ids of PIVOTS hash classes under its key. A key may have a third of all ids: its pivots are copied under salts."""
-    pivots = hot.groupBy(*on, F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("_class")).agg(F.min("id").alias("p")).drop("_class")
-    pivots = pivots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Each id with the least id under its key. A key may have a third of all ids: its pivot is copied under salts."""
+    pivots = hot.groupBy(*on).agg(F.min("id").alias("p")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = hot.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    return rows.join(pivots, [*on, "_salt"]).where(F.col("id") != F.col("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    return rows.join(pivots, [*on, "_salt"]).where(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b"))
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ids (id, root) of different roots that can be similar; none that is similar is missing.
+
+    The shingles of each set are put in one order, rarest first. Sets of n >= m shingles of similarity 0.8 have at least
+    4 / 9 (n + m) in common, so the first of these lies in the first n - 4/5 n + 1 of the larger and the first
+    m - 8/9 m + 1 of the smaller, and behind it enough are left in both.
+    """
+    own = rest.select("id", "root").distinct().join(sets, "id").select("id", "root", F.size("set").alias("n"), F.explode("set").alias("t"))
+    often = own.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    ordered = own.join(often, "t").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("o"))  # one text's shingles
+    prefix = ordered.select("id", "root", "n", F.posexplode(F.slice("o", F.lit(1), F.expr("n - int((4 * n + 4) div 5) + 1"))).alias("pos", "e")).where("e.c > 1")
+    rows = written(prefix.select("id", "root", "n", "pos", F.col("e.t").alias("t")), "prefixes")
+    x, y = rows.alias("x"), rows.where("pos < n - (8 * n + 8) div 9 + 1").alias("y")
+    fits = F.expr("x.t = y.t AND x.root != y.root AND x.n >= y.n AND 5 * y.n >= 4 * x.n AND 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)")
+    return x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _simhash_pairs(classes: DataFrame) -> DataFrame:
@@ -180,25 +181,9 @@ def link_roots(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: s
     roots = components(similar)
     rest = written(_crossing(hot, first, roots), "crossing")
     if not rest.isEmpty():
-        second = ["h"]
-
-        def make():
-            def run(batch: pa.RecordBatch):
-                keys = [_SECOND.keys(np.asarray(s, np.int64).view(np.uint64)) for s in batch.column(2).to_numpy(zero_copy_only=False)]
-                return {"id": batch.column(0), "root": batch.column(1), "bands": pa.array(keys, pa.list_(pa.int64()))}
-
-            return run
-
-        again = map_texts(rest.select("id", "root").distinct().join(sets, "id").select("id", "root", "set"), make, "id long, root long, bands array<long>", rows=64)
-        shared = written(_shared(again.select("id", "root", F.explode("bands").alias("h")), second), "second-keys")
-        hot = shared.where(F.col("n") > hot_key)
-        across = _pairs(shared.where(F.col("n") <= hot_key), second, across=True).unionByName(_pivot_pairs(hot, second)).distinct()
+        across = written(_prefix_pairs(rest, sets), "across")
         similar = written(similar.unionByName(_similar(across, sets)), "similar")
         roots = components(similar)
-        last = written(_crossing(hot, second, roots), "crossing")
-        if not last.isEmpty():  # texts near the limit of similarity: those of different components are compared one by one
-            similar = written(similar.unionByName(_similar(_pairs(last, second, across=True).distinct(), sets)), "similar")
-            roots = components(similar)
     return roots
 
 
