@@ -193,26 +193,18 @@ def bloom_params(spark, d):
 @query(sql("SELECT run_id, key, value, CAST(seq_no AS BIGINT) AS seq_no, is_tombstone FROM runs", "runs"))
 def run_scan(spark, d):
     """Runs written as sorted files with bloom filters, and read back."""
-    from ..sources.runs import read_runs, write_run
+    from ..sources.runs import RUN, write_runs
 
-    runs, paths = R.runs(spark, d), {}
-    for run_id in range(R.RUNS):
-        paths[run_id] = fresh_path(spark, f"run-{run_id}")
-        write_run(runs.where(F.col("run_id") == run_id), paths[run_id])
-    return read_runs(spark, paths)
-
-
-@query(sql("SELECT printf('%06d.sst', run_id) AS file, key, value, CAST(seq_no AS BIGINT) AS seq_no, is_tombstone FROM runs WHERE run_id >= 3", "runs"))
-def sst_scan(spark, d):
-    """The small runs of ``sst_scan_all``, as the SQL asks for them: all runs are packed and read back."""
-    return sst_scan_all(spark, d).where(F.col("file") >= "000003.sst")
+    folder = fresh_path(spark, "runs")
+    write_runs(R.runs(spark, d), folder)
+    return spark.read.schema(f"{RUN}, run_id long").parquet(folder).select("run_id", "key", "value", "seq_no", "is_tombstone")
 
 
 @query(sql("SELECT printf('%06d.sst', run_id) AS file, key, value, CAST(seq_no AS BIGINT) AS seq_no, is_tombstone FROM runs", "runs"))
-def sst_scan_all(spark, d):
+def sst_scan(spark, d):
     """All runs packed as binary run files, a file for each range of a run's keys, and read back."""
     folder = fresh_path(spark, "sst")
-    sst.write_sst(R.runs(spark, d), folder.removeprefix("file:"))
+    sst.write_sst(R.runs(spark, d), folder)
     return sst.read_sst(spark, folder).drop("block_no")
 
 
@@ -230,7 +222,7 @@ def memtable_dump(spark, d):
 def wal_dump(spark, d):
     """Binary segments, written and read back."""
     folder = fresh_path(spark, "wal")
-    wal.write_wal(R.stock(spark, d).withColumn("segment", F.floor(F.col("seq_no") / 40)), folder.removeprefix("file:"))
+    wal.write_wal(R.stock(spark, d).withColumn("segment", F.floor(F.col("seq_no") / 40)), folder)
     return wal.read_wal(spark, folder).select("segment", "seq_no", "op", "key", "value", "ok")
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.shared import written
-from ..functions.sizes import bloom_bits, bloom_hashes, entry_size
+from ..functions.shared import scratch, written
+from ..functions.sizes import bloom_bits, bloom_hashes, entry_size, record_size
 from ..model import KV_LOG, EngineError, Status
 from ..operators import admission, compaction, maintenance, resolve
 from ..sources.eventlog import EventLog
 from ..sources.manifest_store import ManifestStore
-from ..sources.runs import read_runs, write_run
+from ..sources.runs import read_runs, write_merged, write_run
 
 
 class VersionedTable:
@@ -31,23 +33,27 @@ class VersionedTable:
     def _run_path(self, table: dict) -> str:
         return f"{self.base}/runs/{table['file_name']}"
 
+    def commits(self) -> list[dict]:
+        """The batches of the log in order: first, last, folder and batch_id. A folder that no commit names was left by a writer that failed."""
+        return [json.loads(self.store.files.read(f"commits/{n}")) for n in self.store.files.names("commits")]
+
     def log(self, above: int = 0) -> DataFrame:
-        """Records of the change log; batches that a failed writer left without a marker are not read."""
-        batches = [n for n in self.store.files.names("log") if self.store.files.exists(f"log/{n}/_SUCCESS")]
+        """Records of the change log above a number; only batches that hold some are read."""
+        batches = [c["folder"] for c in self.commits() if c["last"] > above]
         if not batches:
             return self.spark.createDataFrame([], KV_LOG)
         return self.spark.read.schema(KV_LOG).parquet(*[f"{self.base}/log/{n}" for n in batches]).where(F.col("seq_no") > above)
 
-    def runs(self, manifest: dict | None = None, key: str | None = None) -> DataFrame:
-        """Entries of a snapshot's runs; with a key only of those whose range can hold it."""
+    def runs(self, manifest: dict | None = None, key: str | None = None, upto: str | None = None) -> DataFrame:
+        """Entries of a snapshot's runs; with a key (or a range of keys) only of those whose range can hold it."""
         manifest = manifest or self.store.load()
-        tables = [t for t in manifest["tables"] if key is None or t["min_key"] <= key <= t["max_key"]]
+        tables = [t for t in manifest["tables"] if key is None or t["min_key"] <= (upto or key) and key <= t["max_key"]]
         return read_runs(self.spark, {t["id"]: self._run_path(t) for t in tables})
 
-    def entries(self, epoch: int | None = None, key: str | None = None) -> DataFrame:
+    def entries(self, epoch: int | None = None, key: str | None = None, upto: str | None = None) -> DataFrame:
         """All versions that a read sees: runs of the snapshot, and for the newest one the log above its watermark."""
         manifest = self.store.load(epoch)
-        found = self.runs(manifest, key).select("key", "value", "seq_no", "is_tombstone")
+        found = self.runs(manifest, key, upto).select("key", "value", "seq_no", "is_tombstone")
         return found if epoch is not None else found.unionByName(resolve.entries_of(self.log(manifest["flushed_seq_no_watermark"])))
 
     def state(self, epoch: int | None = None) -> DataFrame:
@@ -62,7 +68,7 @@ class VersionedTable:
 
     def last_seq(self) -> int:
         manifest = self.store.load()
-        return max(self.log().agg(F.max("seq_no")).first()[0] or 0, manifest["flushed_seq_no_watermark"], *(t["max_seq_no"] for t in manifest["tables"]), 0)
+        return max(0, manifest["flushed_seq_no_watermark"], *(t["max_seq_no"] for t in manifest["tables"]), *(c["last"] for c in self.commits()))
 
     # Writing
 
@@ -77,26 +83,44 @@ class VersionedTable:
             raise EngineError(Status.STORE_CLOSED, self.base)
         if self.config.l0_stop_writes and len(self.store.load()["tables"]) >= self.config.l0_stop_writes:
             raise EngineError(Status.BACKPRESSURE, "too many runs")
-        batch = written(requests.select("req_no", "op", "key", "value"), "batch")
-        stored = resolve.live(self.entries().join(batch.select("key").distinct(), "key", "left_semi"))
-        # What is live already goes before the batch as puts, which are not written again.
-        before = stored.select(F.lit(None).cast("long").alias("req_no"), F.lit("PUT").alias("op"), "key", F.lit("").alias("value"))
-        judged = written(admission.admit(before.withColumn("req_no", F.lit(-1).cast("long")).unionByName(batch)).where("req_no >= 0"), "judged")
-        first = self.last_seq() + 1
-        log = admission.assign_seq(judged.where(F.col("status") == Status.OK.value), first)
-        name = f"{first:020d}" if batch_id is None else f"{first:020d}-{batch_id}"
-        # What a failed writer has left under these numbers was never read and goes.
-        for old in self.store.files.names("log"):
-            if int(old[:20]) == first and not self.store.files.exists(f"log/{old}/_SUCCESS"):
-                self.store.files.delete(f"log/{old}")
-        log.select("seq_no", "op", "key", F.when(F.col("op") == "PUT", F.col("value")).alias("value")).write.mode("overwrite").parquet(f"{self.base}/log/{name}")
+        with scratch() as stays:
+            batch = written(requests.select("req_no", "op", "key", "value"), "batch")
+            judged = stays(written(self._judged(batch), "judged"))
+            first = self.last_seq() + 1
+            accepted = judged.where(F.col("status") == Status.OK.value)
+            n = accepted.count()
+            if n:
+                self._append(admission.assign_seq(accepted, first), first, first + n - 1, batch_id)
         if batch_id is not None:
-            self.store.files.create(f"batches/{batch_id:020d}", name)
+            self.store.files.create(f"batches/{batch_id:020d}", str(n))
         return judged.select("req_no", "key", "status")
 
+    def _judged(self, batch: DataFrame) -> DataFrame:
+        """The batch with statuses. Only keys that it deletes are looked up, in the runs whose range can hold them; a batch of puts reads nothing."""
+        deletes = batch.where("op = 'DEL'").select("key")
+        low, high = deletes.agg(F.min("key"), F.max("key")).first()
+        if low is None:
+            return admission.admit(batch)
+        stored = resolve.live(self.entries(key=low, upto=high).join(deletes.distinct(), "key", "left_semi"))
+        # What is live already goes before the batch as puts, which are not written again.
+        before = stored.select(F.lit(-1).cast("long").alias("req_no"), F.lit("PUT").alias("op"), "key", F.lit("").alias("value"))
+        return admission.admit(before.unionByName(batch)).where("req_no >= 0")
+
+    def _append(self, log: DataFrame, first: int, last: int, batch_id: int | None) -> None:
+        """Write the records to a folder of their own, then publish them under their first number; of two writers with one number the second gets Conflict."""
+        folder = f"{first:020d}-{uuid.uuid4().hex}"
+        log.select("seq_no", "op", "key", F.when(F.col("op") == "PUT", F.col("value")).alias("value")).write.parquet(f"{self.base}/log/{folder}")
+        mine = self.store.files.create(f"commits/{first:020d}", json.dumps({"first": first, "last": last, "folder": folder, "batch_id": batch_id}))
+        # The number may have been taken, flushed and cleared away since it was read.
+        late = mine and self.store.load()["flushed_seq_no_watermark"] >= first
+        if late:
+            self.store.files.delete(f"commits/{first:020d}")
+        if late or not mine:
+            self.store.files.delete(f"log/{folder}")
+            raise EngineError(Status.CONFLICT, f"another writer has stored {first}")
+
     def _stored(self, batch_id: int) -> bool:
-        logged = any(n[20:] == f"-{batch_id}" and self.store.files.exists(f"log/{n}/_SUCCESS") for n in self.store.files.names("log"))
-        return logged or self.store.files.exists(f"batches/{batch_id:020d}")
+        return self.store.files.exists(f"batches/{batch_id:020d}") or any(c["batch_id"] == batch_id for c in self.commits())
 
     def _table(self, run_id: int, name: str) -> dict:
         rate = self.config.bloom_false_positive
@@ -104,18 +128,25 @@ class VersionedTable:
         n = F.count(F.lit(1))
         m = e.agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq_no").alias("min_seq_no"), F.max("seq_no").alias("max_seq_no"), n.alias("num_entries"), F.sum(entry_size()).alias("file_size"), bloom_bits(n, F.lit(rate)).alias("num_bits"), bloom_hashes(F.lit(rate)).alias("num_hashes")).first().asDict()
         bloom = {"num_bits": m.pop("num_bits"), "num_hashes": m.pop("num_hashes"), "false_positive_rate": rate}
-        return {"id": run_id, "file_name": name, **m, "created_at": int(time.time()), "bloom_params": bloom}
+        digest = maintenance.content_digest(e.withColumn("run_id", F.lit(run_id).cast("long"))).first()
+        return {"id": run_id, "file_name": name, **m, "created_at": int(time.time()), "bloom_params": bloom, "digest": digest["digest"]}
+
+    def verify(self) -> DataFrame:
+        """run_id and ok: whether each run still holds the rows and the digest with which it was published. Reads all of them."""
+        tables = self.store.load()["tables"]
+        stored = self.spark.createDataFrame([(t["id"], t["num_entries"], t.get("digest")) for t in tables], "run_id long, rows long, digest string")
+        return maintenance.verify_runs(self.runs(), stored)
 
     def flush(self) -> dict | None:
         """The log above the watermark becomes the newest run; log batches that it covers go. None if there is nothing."""
         manifest = self.store.load()
         log = self.log(manifest["flushed_seq_no_watermark"])
-        top = log.agg(F.max("seq_no")).first()[0]
+        top, size = log.agg(F.max("seq_no"), F.sum(record_size())).first()
         if top is None:
             return None
         run_id = manifest["next_sst_id"]
         name = f"{run_id:06d}-{manifest['epoch'] + 1:06d}"
-        write_run(resolve.latest(resolve.entries_of(log.where(F.col("seq_no") <= top))), f"{self.base}/runs/{name}")
+        write_run(resolve.latest(resolve.entries_of(log.where(F.col("seq_no") <= top))), f"{self.base}/runs/{name}", size)
         table = self._table(run_id, name)
         new = self.store.commit(manifest | {"next_sst_id": run_id + 1, "flushed_seq_no_watermark": max(top, manifest["flushed_seq_no_watermark"]), "tables": [table, *manifest["tables"]]})
         self.trim_log(new)
@@ -123,12 +154,12 @@ class VersionedTable:
         return table
 
     def trim_log(self, manifest: dict) -> list[str]:
-        """Delete the batches whose records are all in runs: all but the last that begin at or below the watermark, as the next one's first number shows."""
-        names = self.store.files.names("log")
-        gone = [n for n, after in zip(names, names[1:]) if int(after[:20]) - 1 <= manifest["flushed_seq_no_watermark"]]
-        for n in gone:
-            self.store.files.delete(f"log/{n}")
-        return gone
+        """Delete the batches whose records are all in runs: their commits first, then what they name."""
+        gone = [c for c in self.commits() if c["last"] <= manifest["flushed_seq_no_watermark"]]
+        for c in gone:
+            self.store.files.delete(f"commits/{c['first']:020d}")
+            self.store.files.delete(f"log/{c['folder']}")
+        return [c["folder"] for c in gone]
 
     def compact(self, ids: list[int] | None = None) -> dict | None:
         """Merge the given runs, or those that the picker chooses; statistics of the job, or None if there is nothing to do."""
@@ -148,7 +179,8 @@ class VersionedTable:
         run_id = manifest["next_sst_id"]
         name = f"{run_id:06d}-{manifest['epoch'] + 1:06d}"
         began = time.time()
-        write_run(compaction.merge_runs(*[self.spark.read.parquet(self._run_path(t)) for t in own]), f"{self.base}/runs/{name}")
+        parts = read_runs(self.spark, {t["id"]: self._run_path(t) for t in own}).drop("run_id")
+        write_merged(parts, compaction.merge_runs, f"{self.base}/runs/{name}", sum(t["file_size"] for t in own))
         table = self._table(run_id, name)
         keys_in = sum(t["num_entries"] for t in own)
         job = {"job_id": len(self.jobs()), "inputs": ids, "output": run_id, "bytes_in": sum(t["file_size"] for t in own), "bytes_out": table["file_size"], "keys_in": keys_in, "keys_out": table["num_entries"], "keys_dropped": max(0, keys_in - table["num_entries"]), "duration_ms": int(1000 * (time.time() - began))}
@@ -185,7 +217,7 @@ class VersionedTable:
         return gone
 
     def recover(self) -> list[str]:
-        """At start: every run that the manifest names must be there; others, left by writers that didn't commit, are deleted."""
+        """At start, while nobody writes: every run that the manifest names must be there; runs, log folders and half-written files that writers left without a commit are deleted."""
         manifest = self.store.load()
         there = self.store.files.names("runs")
         missing = [t["file_name"] for t in manifest["tables"] if t["file_name"] not in there or not self.store.files.exists(f"runs/{t['file_name']}/_SUCCESS")]
@@ -195,6 +227,12 @@ class VersionedTable:
         orphans = [n for n in there if n not in named]
         for n in orphans:
             self.store.files.delete(f"runs/{n}")
+        named = {c["folder"] for c in self.commits()}
+        for n in self.store.files.names("log"):
+            if n not in named:
+                self.store.files.delete(f"log/{n}")
+        for folder in ("manifest", "commits", "batches"):
+            self.store.files.clear_hidden(folder)
         return orphans
 
     def pause(self) -> None:

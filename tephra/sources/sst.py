@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import mounted
+
 from ..functions import bloom
 from ..model import EngineError, Status
 
@@ -156,6 +158,7 @@ def write_sst(runs: DataFrame, folder: str) -> None:
     """
     import os
 
+    folder = mounted(folder)
     os.makedirs(folder, exist_ok=True)
 
     def run(batches):

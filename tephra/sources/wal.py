@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import mounted
+
 from ..model import MAX_PAYLOAD
 
 #: Fixed values of the format.
@@ -77,6 +79,7 @@ def write_wal(segments: DataFrame, folder: str) -> None:
     """segments: segment (number), seq_no, op, key, value. Each task writes whole segment files; for test data and exports on a shared file system."""
     import os
 
+    folder = mounted(folder)
     os.makedirs(folder, exist_ok=True)
 
     def run(batches):

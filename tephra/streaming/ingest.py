@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions.shared import scratch
 from ..plans.table import VersionedTable
 
 
@@ -14,9 +15,10 @@ def ingest(requests: DataFrame, table: VersionedTable, checkpoint: str, maintain
     """Write each micro-batch of a stream (req_no, op, key, value), once even after a restart, and maintain the table after it. Stop it with ``stop()``, gracefully after ``processAllAvailable()``."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        table.write(batch, batch_id)
-        if maintain:
-            table.maintain()
+        with scratch():  # nothing of a batch is kept but what the table stores
+            table.write(batch, batch_id)
+            if maintain:
+                table.maintain()
 
     return requests.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

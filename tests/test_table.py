@@ -64,6 +64,59 @@ def test_a_batch_is_stored_once(spark, tmp_path):
     assert table.write(batch, 0) is None and table.last_seq() == 6
 
 
+def test_of_two_writers_one_gets_conflict(spark, tmp_path, monkeypatch):
+    """Both have read the same last number: the first is stored, the second is told, and nothing is lost."""
+    one, two = (VersionedTable(spark, str(tmp_path / "t"), TINY) for _ in range(2))
+    monkeypatch.setattr(two, "last_seq", lambda: 0)
+    one.write(spark.createDataFrame([(1, "PUT", "a", "x")], REQ))
+    for _ in range(2):  # also after the first writer's batch has gone into a run
+        with pytest.raises(EngineError) as e:
+            two.write(spark.createDataFrame([(1, "PUT", "b", "y")], REQ))
+        assert e.value.status is Status.CONFLICT
+        assert {r["key"] for r in one.state().collect()} == {"a"}
+        one.flush()
+    assert len(one.store.files.names("log")) == 0 and one.last_seq() == 1
+    monkeypatch.undo()
+    two.write(spark.createDataFrame([(1, "DEL", "a", None), (2, "PUT", "b", "y")], REQ))
+    assert {r["key"] for r in one.state().collect()} == {"b"}
+
+
+def test_torn_files_and_folders_are_never_read(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), TINY)
+    table.write(spark.createDataFrame([(1, "PUT", "a", "x")], REQ))
+    table.flush()
+    table.write(spark.createDataFrame([(1, "PUT", "b", "y")], REQ))
+    # What writers leave that end before they publish: half a manifest and a log folder without a commit.
+    (tmp_path / "t/manifest/.000000000002.json.0.tmp").write_text("{")
+    (tmp_path / "t/commits/.00000000000000000003.0.tmp").write_text("")
+    spark.createDataFrame([(3, "PUT", "c", "z")], "seq_no long, op string, key string, value string").write.parquet(str(tmp_path / "t/log/00000000000000000003-x"))
+    again = VersionedTable(spark, str(tmp_path / "t"), TINY)
+    assert {r["key"] for r in again.state().collect()} == {"a", "b"} and again.last_seq() == 2
+    again.recover()
+    assert not (tmp_path / "t/manifest/.000000000002.json.0.tmp").exists() and not (tmp_path / "t/log/00000000000000000003-x").exists()
+    files = again.store.files
+    assert not files.create("manifest/000000000001.json", "{") and files.create("x/y", "1") and not files.create("x/y", "2") and files.read("x/y") == "1"
+    # The way of stores that aren't a local disk.
+    files.fs.create(files._path("x/.h")).close()
+    assert files._rename(files._path("x/.h"), files._path("x/z")) and files.exists("x/z")
+    files.fs.create(files._path("x/.h")).close()
+    assert not files._rename(files._path("x/.h"), files._path("x/z"))
+
+
+def test_puts_read_nothing_and_runs_are_verified(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, str(tmp_path / "t"), TINY)
+    table.write(spark.createDataFrame([(i, "PUT", f"k{i}", "x") for i in range(9)], REQ))
+    run = table.flush()
+    assert [tuple(r) for r in table.verify().collect()] == [(run["id"], True)]
+    with monkeypatch.context() as m:
+        m.setattr(table, "entries", lambda *a, **k: pytest.fail("a batch of puts looks nothing up"))
+        table.write(spark.createDataFrame([(1, "PUT", "k1", "y")], REQ))
+    assert table.runs(key="z", upto="zz").count() == 0 and table.runs(key="a", upto="k0").count() == 9
+    path = f"{tmp_path}/t/runs/{run['file_name']}"
+    spark.createDataFrame([("k0", "other", 1, False)], "key string, value string, seq_no long, is_tombstone boolean").write.mode("overwrite").parquet(path)
+    assert [tuple(r) for r in table.verify().collect()] == [(run["id"], False)]
+
+
 def test_gates_and_recovery(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), TINY.replace(l0_stop_writes=1))
     table.write(spark.createDataFrame([(1, "PUT", "a", "x")], REQ))

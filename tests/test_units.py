@@ -230,6 +230,6 @@ def test_config(tmp_path):
 
 
 def test_all_runs_pass_through_run_files(spark, sf_dir):
-    got = QUERIES["sst_scan_all"](spark, sf_dir)
+    got = QUERIES["sst_scan"](spark, sf_dir)
     assert {r["file"] for r in got.select("file").distinct().collect()} == {f"{i:06d}.sst" for i in range(R.RUNS)}
     assert got.count() == R.runs(spark, sf_dir).count()
