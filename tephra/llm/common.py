@@ -1,90 +1,18 @@
-"""Helpers shared by the operators: the shared folder, written tables and Arrow batches."""
+"""Helpers shared by the operators: Arrow batches, and the written tables of the library."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-#: Rows that an Arrow batch is cut into before it becomes Python objects.
-SLICE_ROWS = 512
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where all share one disk, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tephra-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/tephra/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(release)
-    _written.append((spark, path))
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from pyspark.sql import DataFrame
 
+from ..functions.shared import discard, fresh_path, release, scratch, shared_dir, written
 
-def release() -> None:
-    """Delete the tables written by this driver so far. DataFrames that read them can't be used afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before the interpreter
-            return
+__all__ = ["SLICE_ROWS", "discard", "fresh_path", "map_texts", "release", "scratch", "shared_dir", "slices", "written"]
 
-
-def discard(df: DataFrame) -> None:
-    """Delete the table that ``written`` has made for ``df``, once nothing reads it any more."""
-    path = getattr(df, "_tephra_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _written.remove((df.sparkSession, path))
-
-
-@contextlib.contextmanager
-def scratch():
-    """Tables written inside are deleted at its end, but for those that were passed to the function it yields."""
-    mark, kept = len(_written), set()
-
-    def stays(df: DataFrame) -> DataFrame:
-        kept.add(df._tephra_path)
-        return df
-
-    yield stays
-    for spark, path in _written[mark:]:
-        if path not in kept:
-            _delete(spark, path)
-    _written[mark:] = [(s, p) for s, p in _written[mark:] if p in kept]
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tephra_path = path
-    return out
+#: Rows that an Arrow batch is cut into before it becomes Python objects.
+SLICE_ROWS = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

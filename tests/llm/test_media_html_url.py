@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import html
 import json
 import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -68,7 +70,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def plain(source):
-    return html_extract._text(source, lambda *a: False)
+    return html_extract.Page(None, source, True).text({})
 
 
 def test_extraction():
@@ -99,6 +101,39 @@ def test_templates_are_removed(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<div class="', "<!", "<!-- ", "</", "<", "<b>", "<b><p>", "<p>", "<li>", "<b></i>", "<table><b><p>", "<a \">", "<script>", "<article>", "<header><h1>", "<div></div>", "&", "x > \"", "<td>", "<a '\"", "<form>"])
+def test_a_megabyte_of_broken_markup(piece):
+    source = "<p>text" + piece * ((1 << 20) // len(piece))
+    began = time.perf_counter()
+    for clues in (True, False):
+        page = html_extract.Page("http://a.b/", source, clues)
+        list(page.hashes())
+        page.text({i: {html_extract.SHAPE, html_extract.MAIN} for i in page.candidates})
+    assert time.perf_counter() - began < 30
+
+
+def test_tokens_cover_the_source():
+    for source in ('a<b c="x>y">d</b >e', "<p>1<!-- <p> -->2<![CDATA[<x>]]>3", "a < b <c", '<a href="x>t', "<a 'b>c</a>", "<script>if (a<b) '</p>'</script>x", "<!doctype html><p>x", "</>x"):
+        tree = html_extract.parse(source)
+        assert "x" not in source or any("x" in t for n in [tree, *html_extract.nodes(tree)] for t in [*n.items, *n.attrs.values(), *n.attrs] if isinstance(t, str))
+    assert plain('<article><p>1 <b title="a>b">2</b></p><div class="ad-hoc-report">3</div><div class="ad-box">4</div></article>') == "1 2\n3"
+    assert plain("<body><form action=x><div class=menu>m</div><p>long text of a page in a form</p></form></body>") == "long text of a page in a form"
+
+
+def test_counts_alone_find_the_article(spark, sf_dir):
+    """Without clues inside the page, menus, adverts and footers go by their shapes on hosts with enough pages; without the counts they stay."""
+    pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    full = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
+    counted = {r["page_id"]: r["text"] for r in html_extract.extract(pages, clues=False).collect()}
+    uncounted = {r["page_id"]: r["text"] for r in html_extract.extract(pages, clues=False, min_pages=10**9).collect()}
+    sizes = collections.Counter(html_extract.host_of(r["url"]) for r in full.values())
+    often = [k for k, r in full.items() if sizes[html_extract.host_of(r["url"])] >= 2 * html_extract.MIN_PAGES]
+    assert len(often) > 50
+    assert all(uncounted[k] != full[k]["text"] for k in often)
+    assert all(counted[k] == full[k]["text"] for k in often)
+    assert html_extract.templates(pages).count() > 0
+
+
 def test_op3(spark, sf_dir):
     source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = html_extract.op3_html(spark, sf_dir).collect()
