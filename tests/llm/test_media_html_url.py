@@ -6,6 +6,8 @@ import collections
 import hashlib
 import html
 import json
+import math
+import random
 import re
 import struct
 import time
@@ -13,6 +15,7 @@ import zlib
 
 import pytest
 from odd import ODD_TEXTS, docs, empty
+from pyspark.sql import functions as F
 
 from tephra.llm import html_extract, media, url_filter
 
@@ -177,3 +180,64 @@ def test_trees_learn(spark):
     assert len(model.trees) == 3
     got = url_filter.judge_urls(rows).collect()
     assert sum((r["score"] >= 0.5) == (r["rule"] == "net/") for r in got) >= 295
+
+
+def plain_boost(rows, n_features, base, trees, depth):
+    """The same booster over rows (bins, y, n) in plain Python; the margin of each row."""
+    margin = [base] * len(rows)
+    for t in range(trees):
+        prob = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [r[1] - r[2] * p for r, p in zip(rows, prob)], [r[2] * p * (1 - p) for r, p in zip(rows, prob)]
+        leaf = [0] * len(rows)
+        for _ in range(depth):
+            chosen = {}
+            for own in set(leaf):
+                at = [i for i in range(len(rows)) if leaf[i] == own]
+                G, H = sum(g[i] for i in at), sum(h[i] for i in at)
+                best = (1e-8, None)
+                for f in sorted(url_filter.allowed(t, n_features)):
+                    for b in sorted({rows[i][0][f] for i in at})[:-1]:
+                        lg, lh = sum(g[i] for i in at if rows[i][0][f] <= b), sum(h[i] for i in at if rows[i][0][f] <= b)
+                        gain = lg**2 / (lh + url_filter.L2) + (G - lg) ** 2 / (H - lh + url_filter.L2) - G**2 / (H + url_filter.L2)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (f, b))
+                chosen[own] = best[1]
+            leaf = [2 * own + (chosen[own] is not None and r[0][chosen[own][0]] > chosen[own][1]) for own, r in zip(leaf, rows)]
+        for own in set(leaf):
+            at = [i for i in range(len(rows)) if leaf[i] == own]
+            value = url_filter.RATE * sum(g[i] for i in at) / (sum(h[i] for i in at) + url_filter.L2)
+            for i in at:
+                margin[i] += value
+    return margin
+
+
+def test_trees_are_those_of_a_plain_booster(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(120):
+        bins = [rng.randrange(5) for _ in range(6)]
+        n = rng.randrange(1, 4)
+        rows.append((bins, float(sum(rng.random() < (0.9 if bins[0] + bins[3] > 4 else 0.2) for _ in range(n))), n))
+    frame = spark.createDataFrame(rows, "bins array<int>, y double, n long")
+    trees = url_filter.boost(frame, 6, 0.1, trees=5, depth=3)
+    model = url_filter.UrlModel([], [], 0.1, trees)
+    got = [r[0] for r in frame.select(url_filter._score(F.col("bins"), model)).collect()]
+    assert got == pytest.approx(plain_boost(rows, 6, 0.1, 5, 3), rel=1e-9)
+    assert len({s[0] for t, _ in trees for s in t if s}) > 2
+
+
+def test_held_out_urls_and_scores_of_one_suffix(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/pages.parquet")
+    model = url_filter.train(pages.where("page_id % 2 = 0"))
+    judged = url_filter.judge_urls(pages, model=model).collect()
+    held = [r for r in judged if r["page_id"] % 2 and r["rule"]]
+    by = {}
+    for r in held:
+        by.setdefault(r["rule"], []).append((r["score"] >= 0.5) == (r["verdict"] == "block"))
+    assert held and sum(map(sum, by.values())) / len(held) > 0.9, {k: sum(v) / len(v) for k, v in by.items()}
+    unruled = {}
+    for r in judged:
+        if not r["rule"]:
+            unruled.setdefault(r["host"].rsplit(".", 1)[-1], set()).add(round(r["score"], 6))
+    assert all(len(v) > 3 for v in unruled.values() if v)
+    assert len({s[0] for t, _ in model.trees for s in t if s}) > 3  # not the suffix alone
