@@ -8,6 +8,7 @@ looked up in the set and then verified word by word.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -21,8 +22,9 @@ from .common import map_texts, written
 WINDOW = 13
 #: A document is contaminated from this share of hit words: 20 * n_hit >= n_words.
 SHARE = 20
-#: Bytes of benchmark text that a task holds at once; a larger benchmark is scanned in several blocks of items.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that a task holds at once (or one item); a larger benchmark is scanned in several blocks of
+#: items. A worker needs about 25 bytes for one of text.
+BLOCK_BYTES = 8 << 20
 
 #: ASCII letters in lower case, digits and all bytes from 0x80 are parts of words, all else is a gap.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -35,23 +37,27 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items."""
+    """The windows of a block of items: sorted hashes, and for each where its words stand in the items' one array of word numbers, and whose it is."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found[n][ids[i : i + n]].add(item)
+        number = self.vocabulary.setdefault
+        self.names = sorted({i for i, _ in items})
+        rank = {n: r for r, n in enumerate(self.names)}
+        parts = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint32) for _, text in items]
+        self.words = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        starts = np.cumsum([0, *map(len, parts)])
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for k, p in enumerate(parts):
+            if len(p):
+                by_size[min(window, len(p))].append(k)
         self.sets = []
-        for n, windows in sorted(found.items()):
-            ids = np.array(list(windows), np.int64).reshape(-1, n)
-            hashes = self._hashes(ids.ravel(), n)[::n] if len(ids) else np.empty(0, np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            owners = list(windows.values())
-            self.sets.append((n, hashes[order], ids[order], [owners[i] for i in order]))
+        for n, own in sorted(by_size.items()):
+            hashes = np.concatenate([self._hashes(parts[k], n) for k in own])
+            places = np.concatenate([np.arange(starts[k], starts[k] + len(parts[k]) - n + 1) for k in own]).astype(np.uint32)
+            owners = np.concatenate([np.full(len(parts[k]) - n + 1, rank[items[k][0]], np.uint32) for k in own])
+            order = np.lexsort((owners, hashes))
+            self.sets.append((n, hashes[order], places[order], owners[order]))
 
     @staticmethod
     def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -69,7 +75,7 @@ class Windows:
         stretches: list[tuple[int, int]] = []
         items: set[str] = set()
         get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.int64)
+        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         known = np.r_[0, np.cumsum(ids != 0)]
         for n, hashes, windows, owners in self.sets:
             if len(ids) < n:
@@ -78,14 +84,14 @@ class Windows:
             if not len(full):
                 continue
             own = self._hashes(ids, n)[full]
-            at = np.searchsorted(hashes, own)
-            for place, h, i in zip(full.tolist(), own, at.tolist()):
-                while i < len(hashes) and hashes[i] == h:
-                    if (windows[i] == ids[place : place + n]).all():
-                        stretches.append((place, place + n))
-                        items |= owners[i]
-                        break
-                    i += 1
+            at, end = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+            for i in np.flatnonzero(at < end).tolist():
+                place, first, last = int(full[i]), int(at[i]), int(end[i])
+                stand = windows[first:last].astype(np.int64)
+                right = (self.words[stand[:, None] + np.arange(n)] == ids[place : place + n]).all(axis=1)
+                if right.any():
+                    stretches.append((place, place + n))
+                    items.update(self.names[o] for o in np.unique(owners[first:last][right]).tolist())
         return len(words), joined(stretches), items
 
 
@@ -100,14 +106,56 @@ def joined(stretches) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items, read one block at a time; blocks of at most ``block_bytes`` of text (or one item)."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n = max(1, -(-2 * size // block_bytes))
-    if n == 1:
-        return [[tuple(r) for r in rows.collect()]]  # below the limit: proven by ``size``
-    return ([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()] for b in range(n))
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull()).distinct()
+
+
+def _blocks(items: DataFrame, block_bytes: int):
+    """The items (i, t), one block at a time: at most ``block_bytes`` of text by the sizes that are counted for it, or one item.
+
+    Items are cut into blocks in the order of their text's hash, also those of one id. Only block borders and one block
+    are in the driver at a time; what a task has scanned of a block is written before the next one is read.
+    """
+    size = F.octet_length("t") + F.octet_length("i") + 16
+    sized = items.select("i", "t", size.alias("size"), F.xxhash64("i", "t").alias("h"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    if total <= block_bytes:
+        return iter([[(r["i"], r["t"]) for r in sized.collect()]])  # below the limit: proven by ``total``
+    slices = 4 * -(-total // block_bytes)
+    cut = written(sized.withColumn("slice", F.pmod("h", F.lit(slices))), "benchmark")
+
+    def some(where, bytes_of: int, parts: int):
+        """A part within the bound as one block; else cut again, down to single items."""
+        if bytes_of <= block_bytes:
+            yield [(r["i"], r["t"]) for r in cut.where(where).select("i", "t").collect()]
+            return
+        finer = F.pmod(F.shiftrightunsigned("h", 8), F.lit(parts))
+        sizes = {r[0]: (r[1], r[2]) for r in cut.where(where).groupBy(finer.alias("f")).agg(F.sum("size"), F.count(F.lit(1))).collect()}
+        for f, (own, n) in sorted(sizes.items()):
+            inner = where & (finer == f)
+            if n == 1 or parts > 1 << 40:
+                yield [(r["i"], r["t"]) for r in cut.where(inner).select("i", "t").collect()]
+            else:
+                yield from some(inner, own, parts * 64)
+
+    def blocks():
+        held, slices_of = 0, []
+        for k, own in sorted((r[0], r[1]) for r in cut.groupBy("slice").agg(F.sum("size")).collect()):  # four numbers a block
+            if slices_of and held + own > block_bytes:
+                yield from some(F.col("slice").isin(slices_of), held, 64)
+                held, slices_of = 0, []
+            held, slices_of = held + own, [*slices_of, k]
+        if slices_of:
+            yield from some(F.col("slice").isin(slices_of), held, 64)
+
+    return blocks()
+
+
+def _first_block(blocks):
+    """The only block, or None and all blocks where there are several."""
+    first = next(blocks, [])
+    second = next(blocks, None)
+    return (first, None) if second is None else (None, itertools.chain([first, second], blocks))
 
 
 def scan_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -119,10 +167,10 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for each block of items, and the few hits of the blocks are brought together.
     """
     kind = dict(docs.dtypes)[key]
-    blocks = list(_blocks(benchmark, item, item_text, block_bytes)) if block_bytes else []
+    only, blocks = _first_block(_blocks(_items(benchmark, item, item_text), block_bytes))
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    if len(blocks) == 1:
-        return map_texts(rows, _scanner(docs.sparkSession, blocks[0], window, True), f"key {kind}, {_RESULT}").withColumnRenamed("key", key)
+    if blocks is None:
+        return map_texts(rows, _scanner(docs.sparkSession, only, window, True), f"key {kind}, {_RESULT}").withColumnRenamed("key", key)
     both = _scan_blocks(rows, blocks, kind, window).select("key", "n_words", "spans", "items")
 
     def make():
@@ -135,18 +183,21 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return map_texts(both, make, f"key {kind}, {_RESULT}").withColumnRenamed("key", key)
 
 
-def _scan_blocks(rows: DataFrame, blocks: list, kind: str, window: int) -> DataFrame:
-    """key, of (hash of the text), n_words, spans and items of each row, brought together over the blocks of a large benchmark."""
+def _scan_blocks(rows: DataFrame, blocks, kind: str, window: int) -> DataFrame:
+    """key, of (hash of the text), n_words, spans and items of each row, brought together over the blocks of a large benchmark.
+
+    The documents are scanned for one block after the other: a block is broadcast, its hits are written, and it goes.
+    """
     rows = rows.select("key", "text", F.xxhash64("text").alias("of"))
     base = map_texts(rows, _counter, f"key {kind}, of long, n_words long")
     hits = None
     for block in blocks:
-        one = map_texts(rows, _scanner(rows.sparkSession, block, window, False), f"key {kind}, of long, spans array<struct<a:long,b:long>>, items array<string>")
+        scan = _scanner(rows.sparkSession, block, window, False)
+        one = written(map_texts(rows, scan, f"key {kind}, of long, spans array<struct<a:long,b:long>>, items array<string>"), "benchmark-hits")
+        scan.sent.destroy()
         hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        return base.withColumns({"spans": F.array().cast("array<struct<a:bigint,b:bigint>>"), "items": F.array().cast("array<string>")})
     # Only hits are left in these rows; equal rows have equal hits, so one of them is enough.
-    found = written(hits, "benchmark-hits").groupBy("key", "of").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items")).withColumnsRenamed({"key": "_key", "of": "_of"})
+    found = hits.groupBy("key", "of").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items")).withColumnsRenamed({"key": "_key", "of": "_of"})
     return base.join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.col("of") == F.col("_of")), "left").drop("_key", "_of")
 
 
@@ -187,6 +238,7 @@ def _scanner(spark, block, window: int, whole: bool):
 
         return run
 
+    make.sent = sent
     return make
 
 
@@ -209,13 +261,15 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """``docs`` with its columns: contaminated documents are gone; in the others the hit stretches of words are cut out.
 
-    A document whose text is null, empty or without hits stays as it is.
+    A document whose text is null, empty or without hits stays as it is. A row is judged by its own text: repeated rows
+    go or stay together, rows with a null key are kept or cut like others, columns of any name are carried along, an
+    empty table stays empty, and an empty benchmark leaves all as it is.
     """
     item, item_text, window = more.get("item", "item_id"), more.get("item_text", "text"), more.get("window", WINDOW)
-    blocks = list(_blocks(benchmark, item, item_text, more.get("block_bytes", BLOCK_BYTES)))
+    only, blocks = _first_block(_blocks(_items(benchmark, item, item_text), more.get("block_bytes", BLOCK_BYTES)))
     place, columns, schema = docs.columns.index(text), docs.columns, docs.schema
-    if len(blocks) == 1:
-        sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    if blocks is None:
+        sent = docs.sparkSession.sparkContext.broadcast(only)  # at most BLOCK_BYTES of text, or one item
 
         def scan():
             windows = Windows(sent.value, window)
