@@ -13,6 +13,8 @@ from .encoders import file_digest, shared_encoder, tokenizer_path
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 SALTS = 4
+#: Words of 64 bits in the filter of missing digests: a table of proven size that is broadcast.
+FILTER_WORDS = 1 << 16
 #: Counting options that are part of the cached version.
 OPTIONS = "add_special_tokens=False,truncation=None,padding=None"
 
@@ -36,8 +38,10 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
     Texts are normalised (null to empty; nothing that could change a count) and digested; digests are joined to the
     cache at ``cache_path``. One row stands for each digest that is missing there: only its text is encoded, and the
     count is appended. Repeated rows share a digest and keep a row each. Null keys and an empty table are kept as they
-    are, other columns are ignored. Only digests and the texts of distinct misses are shuffled: a text with a third
-    of all rows is reduced to a row in each task first. Two writers may append one digest twice; a reader takes one.
+    are, other columns are ignored. Digests are shuffled, and the texts that may be missing from the cache, so that one
+    of each is encoded: rows that hit the cache are held back by a bitmap of the missing digests before their texts move,
+    as long as these fill at most a quarter of it; beyond, most texts are new, and all move. Without a miss no text is
+    read a second time. Two writers may append one digest twice; a reader takes one.
     """
     spark, path = docs.sparkSession, tokenizer_path(tokenizer)
     version = tokenizer_version(tokenizer)
@@ -57,8 +61,15 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
 
     # The key that stands for a digest: of null and other keys the least, null first.
     first = keyed.groupBy("digest").agg(F.min(F.struct(F.col("k").isNotNull().alias("has"), F.col("k"))).alias("first"))
-    misses = first.join(cached().select("digest").distinct(), "digest", "left_anti").select(F.col("digest").alias("d"), F.col("first.k").alias("stands"))
-    encode = texts.withColumn("digest", digest).join(misses, (F.col("digest") == F.col("d")) & F.col("k").eqNullSafe(F.col("stands"))).select("digest", "text")
+    misses = written(first.join(cached().select("digest").distinct(), "digest", "left_anti").select(F.col("digest").alias("d"), F.col("first.k").alias("stands")), "misses")
+    missing = misses.count()
+    digested = texts.withColumn("digest", digest)
+    if missing <= 16 * FILTER_WORDS:
+        word, bit = F.pmod(F.xxhash64("digest"), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64("digest", F.lit("bit")), F.lit(64)).cast("int")
+        bitmap = misses.select(F.col("d").alias("digest")).select(word.alias("word"), F.expr("shiftleft(1L, int(pmod(xxhash64(digest, 'bit'), 64L)))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+        held = digested.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bitmap), "word")  # FILTER_WORDS rows at most
+        digested = held.where(F.expr("(shiftrightunsigned(bits, bit) & 1L) = 1")).select("k", "text", "digest")
+    encode = digested.join(misses, (F.col("digest") == F.col("d")) & F.col("k").eqNullSafe(F.col("stands"))).select("digest", "text")
 
     def make():
         count = _counter(path)()
@@ -72,8 +83,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
 
         return run
 
-    counted = map_texts(encode, make, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(version))
-    counted.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    if missing:
+        counted = map_texts(encode, make, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(version))
+        counted.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = cached().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # A digest with a third of all rows: its count is copied under salts, and the rows are dealt out over them.
     counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
