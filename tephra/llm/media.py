@@ -149,6 +149,8 @@ def _walk(view: memoryview, at: int, end: int, movie: Movie, tables: dict | None
     if depth > DEPTH:
         raise ValueError("boxes are nested too deep")
     for kind, start, stop in boxes(view, at, end):
+        if kind == b"moof":
+            raise ValueError("fragmented: samples lie in moof boxes")
         if kind == b"ftyp":
             movie.brand = bytes(view[start : start + 4]).decode("latin-1")
         elif kind == b"nbyt":
@@ -178,6 +180,8 @@ def _table(view: memoryview, kind: bytes, start: int, stop: int, t: dict) -> Non
         t["stss"] = _numbers(view, start + 8, stop, u32(start + 4), ">u4")
     elif kind == b"stsc":
         t["stsc"] = _numbers(view, start + 8, stop, 3 * u32(start + 4), ">u4").reshape(-1, 3)
+    elif kind == b"stz2":
+        raise ValueError("compact sample sizes (stz2)")
     elif kind == b"stsz":
         size, n = u32(start + 4), u32(start + 8)
         if size and n * size > 1 << 62:
@@ -217,14 +221,26 @@ def payload_of(raw: bytes, track: Track) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(track.offsets[np.r_[0, cut]].tolist(), ends[np.r_[cut - 1, len(ends) - 1]].tolist()))
 
 
+def main_track(movie: Movie) -> Track:
+    """The first video track, else the first."""
+    return next((t for t in movie.tracks if t.handler == "vide"), movie.tracks[0])
+
+
+def _described(t: Track) -> dict:
+    return {"codec": t.codec.strip(), "handler": t.handler, "timescale": t.timescale, "duration": t.durations, "seconds": round(t.durations / t.timescale, 6) if t.timescale else None, "samples": len(t.sizes), "keyframes": [[a, n] for a, n in t.key_ranges()]}
+
+
 def feature(movie: Movie) -> str:
-    """What is stored of the first track, as JSON."""
-    t = movie.tracks[0]
-    return json.dumps({"brand": movie.brand.strip(), "codec": t.codec.strip(), "handler": t.handler, "timescale": t.timescale, "duration": t.durations, "seconds": round(t.durations / t.timescale, 6) if t.timescale else None, "samples": len(t.sizes), "keyframes": [[a, n] for a, n in t.key_ranges()]}, separators=(",", ":"))
+    """What is stored of the main track, as JSON; with several tracks also of each of them, in their order."""
+    more = {"tracks": [_described(t) for t in movie.tracks]} if len(movie.tracks) > 1 else {}
+    return json.dumps({"brand": movie.brand.strip()} | _described(main_track(movie)) | more, separators=(",", ":"))
 
 
 def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and media (a container with the text's UTF-8), written to the shared folder and read back. A null text is an empty one."""
+    """key and media (a container with the text's UTF-8), written to the shared folder and read back.
+
+    A null text is an empty one; null keys and repeated rows stay, other columns are ignored, an empty table stays empty.
+    """
 
     def make():
         return lambda b: {"key": b.column(0), "media": [mux((t or "").encode()) for t in b.column(1).to_pylist()]}
@@ -234,7 +250,10 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def media_features(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Features of a column of containers: codec, seconds, key frame ranges (in ``feature``), and digests of payload and stored bytes.
+    """Features of a column of containers: codec and seconds of the main track, key frame ranges of all (in ``feature``), and digests of payload and stored bytes.
+
+    Durations are those of the sample tables: edit lists don't count. Fragmented containers (moof) and compact sizes
+    (stz2) aren't read and say so in ``error``.
 
     A null or broken container gives a row with nulls and what is wrong in ``error``; nothing raises. Repeated rows
     and null keys stay, an empty table gives an empty result, other columns are ignored. No shuffle.
@@ -250,7 +269,7 @@ def media_features(media: DataFrame, key: str = "doc_id", column: str = "media")
             movie = demux(raw)
         except ValueError as e:
             return (*[None] * 4, *stored, None, None, None, str(e))
-        t = movie.tracks[0]
+        t = main_track(movie)
         payload = payload_of(raw, t)
         return (len(payload) if movie.n_bytes is None else movie.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), *stored, t.codec.strip(), t.durations / t.timescale if t.timescale else None, feature(movie), None)
 

@@ -48,6 +48,20 @@ def test_foreign_and_broken_containers():
             media.demux(bad)
 
 
+def test_features_of_all_tracks():
+    one = media.mux(b"x" * 100)
+    movie = media.demux(one)
+    sound, video = media.demux(one).tracks[0], media.demux(one).tracks[0]
+    sound.handler, video.codec = "soun", "avc1"
+    movie.tracks[:] = [sound, video]
+    video.handler = "vide"
+    got = json.loads(media.feature(movie))
+    assert got["codec"] == "avc1" and [t["handler"] for t in got["tracks"]] == ["soun", "vide"] and got["tracks"][0]["keyframes"]
+    for box, why in ((b"moof", "fragmented"),):
+        with pytest.raises(ValueError, match=why):
+            media.demux(one + struct.pack(">I4s", 8, box))
+
+
 def test_op2(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for got, source in ((media.op2_media(spark, sf_dir), d), (media.media_features(media.store_media(docs(spark))), docs(spark))):
