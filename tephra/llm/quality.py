@@ -157,10 +157,14 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` accepts, with their columns. Rows with one key and one text go or stay together."""
+    """The rows of ``docs`` that ``judge`` accepts, with their columns.
+
+    Rows with one key and one text go or stay together, also where the key is null; a null text is rejected, an empty
+    table stays empty, columns of any other name are carried along.
+    """
     found = written(evidence(docs, learn(docs, labels, key, text), key, text, host, path), "evidence")
     rejected = posteriors(found).where(F.col("quality") < threshold).select(F.col("key").alias("_k"), F.col("of").alias("_of")).distinct()
-    return docs.join(rejected, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_of")), "left_anti").select(*docs.columns)
+    return docs.join(rejected, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_of")), "left_anti").select(*docs.columns)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -306,6 +306,39 @@ def test_quality_separates_labels(spark, sf_dir):
     assert np.mean(right) > 0.97
 
 
+def test_quality_of_held_out_labels(spark, sf_dir):
+    """Trained on the labels of even ids, judged on those of odd ones."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    odd = {r["doc_id"]: bool(r["quality"]) for r in labels.where("doc_id % 2 = 1").collect()}
+    rows = quality.judge(spark.read.parquet(f"{big}/documents.parquet"), labels.where("doc_id % 2 = 0")).collect()
+    right = [r["accepted"] == odd[r["doc_id"]] for r in rows if r["doc_id"] in odd]
+    assert len(right) > 50 and np.mean(right) > 0.95
+
+
+def test_site_priors_decide_doubtful_documents(spark):
+    """A text that speaks faintly for itself is rejected on a bad site and accepted on a good one; a clear one is not touched."""
+    rows = [(i, 0, f"h{i % 2}", "p", (4.0 if i % 2 else -4.0)) for i in range(2, 400)]
+    rows += [(1000, 0, "h0", "p", 0.3), (1001, 0, "h1", "p", -0.3), (1002, 0, "h0", "p", 9.0), (1003, 0, "h1", "p", -9.0)]
+    found = {r["key"]: r for r in quality.posteriors(spark.createDataFrame(rows, "key long, of long, host string, path string, z double")).collect()}
+    assert found[1000]["p_doc"] >= 0.5 > found[1000]["quality"] and found[1001]["p_doc"] < 0.5 <= found[1001]["quality"]
+    assert found[1002]["quality"] >= 0.5 > found[1003]["quality"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated keys and texts, texts of all kinds and extra columns go through all stages, and so does an empty table."""
+    for name, frame in (("odd", docs(spark)), ("none", empty(spark))):
+        folder = tmp_path / name
+        frame.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(4, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, "The and of the")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        now = frame
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = f(spark, now, str(folder))
+            assert now.columns == frame.columns, stage
+        assert corpus_pipeline.run(spark, str(folder)).count() <= frame.count()
+
+
 def test_quality_posteriors_against_plain_numbers(spark):
     rng = random.Random(2)
     rows = [(i, 0, f"h{rng.randrange(3)}", f"p{rng.randrange(2)}", rng.uniform(-4, 4)) for i in range(200)]
