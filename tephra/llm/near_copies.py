@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: Different texts under one key from which they are first compared with one of them, not all with each other.
 HOT_KEY = 64
+#: Cells in which shingles of texts under hot keys are counted.
+BUCKETS = 1 << 18
 SALTS = 8
 
 
@@ -102,15 +104,32 @@ def _pivot_pairs(hot: DataFrame, on: list[str]) -> DataFrame:
 def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of ids (id, root) of different roots that can be similar; none that is similar is missing.
 
-    The shingles of each set are put in one order, rarest first. Sets of n >= m shingles of similarity 0.8 have at least
-    4 / 9 (n + m) in common, so the first of these lies in the first n - 4/5 n + 1 of the larger and the first
-    m - 8/9 m + 1 of the smaller, and behind it enough are left in both.
+    The shingles of each set are put in one order, rarest first; how rare they are is counted in BUCKETS cells, a table
+    of fixed size. Sets of n >= m shingles of similarity 0.8 have at least 4 / 9 (n + m) in common, so the first of these
+    lies in the first n - 4/5 n + 1 of the larger and the first m - 8/9 m + 1 of the smaller, and behind it enough are
+    left in both. That holds for any order: cells that hold several shingles cost comparisons, not pairs.
     """
-    own = rest.select("id", "root").distinct().join(sets, "id").select("id", "root", F.size("set").alias("n"), F.explode("set").alias("t"))
-    often = own.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    ordered = own.join(often, "t").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("o"))  # one text's shingles
-    prefix = ordered.select("id", "root", "n", F.posexplode(F.slice("o", F.lit(1), F.expr("n - int((4 * n + 4) div 5) + 1"))).alias("pos", "e")).where("e.c > 1")
-    rows = written(prefix.select("id", "root", "n", "pos", F.col("e.t").alias("t")), "prefixes")
+    own = rest.select("id", "root").distinct().join(sets, "id").select("id", "root", "set")
+    cells = own.select(F.explode("set").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("cell")).agg(F.count(F.lit(1)).alias("c")).toArrow()  # BUCKETS rows at most
+    often = np.zeros(BUCKETS, np.int64)
+    often[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    sent = rest.sparkSession.sparkContext.broadcast(often)
+
+    def make():
+        def run(batch: pa.RecordBatch):
+            out: dict[str, list] = {"id": [], "root": [], "n": [], "pos": [], "t": []}
+            for i, root, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)):
+                n = len(s)
+                c = sent.value[np.mod(s, BUCKETS)]
+                first = np.lexsort((s, c))[: n - (4 * n + 4) // 5 + 1]
+                shared = np.flatnonzero(c[first] > 1)  # a shingle that is alone in its cell is in no other set
+                for name, v in (("id", np.full(len(shared), i)), ("root", np.full(len(shared), root)), ("n", np.full(len(shared), n)), ("pos", shared), ("t", s[first[shared]])):
+                    out[name].append(v.astype(np.int64))
+            return {name: np.concatenate(v) for name, v in out.items()}
+
+        return run
+
+    rows = written(map_texts(own, make, "id long, root long, n long, pos long, t long", rows=64), "prefixes")
     x, y = rows.alias("x"), rows.where("pos < n - (8 * n + 8) div 9 + 1").alias("y")
     fits = F.expr("x.t = y.t AND x.root != y.root AND x.n >= y.n AND 5 * y.n >= 4 * x.n AND 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)")
     return x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
