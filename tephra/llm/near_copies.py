@@ -6,10 +6,11 @@ many bits apart, from BANDS keys, each of ROWS least hashes: a pair of similarit
 probability (1 - s^5)^32, which is 3 in a million at 0.8 and less above. Only texts of different words are indexed:
 copies are one row there.
 
-A key that at most HOT_KEY texts have gives all its pairs. Under a hotter one each text is compared with one of them
-first, which joins a large group of near copies in one component. Pairs of one component need no comparison. What lies in
-several components under one hot key, such as texts around one common passage, is indexed a second time by its rarest
-shingles (prefix filter): two sets of similarity 0.8 have one of their rarest fifth in common, so no pair is lost.
+A key that at most HOT_KEY texts have gives all its pairs, a number bounded for each row. Under a hotter one each text is
+compared with one of them, which joins a large group of near copies in one component, and in TURNS further turns with
+another one, drawn anew, if that lies in another component. Pairs of one component need no comparison. What lies in
+several components under one hot key after that, such as texts around one common passage, is indexed a second time by its
+rarest shingles (prefix filter): two sets of similarity 0.8 have one of their rarest fifth in common, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: Different texts under one key from which they are first compared with one of them, not all with each other.
-HOT_KEY = 64
+HOT_KEY = 4
+#: Further turns in which texts under a hot key are compared with one of them in another component.
+TURNS = 2
 #: Cells in which shingles of texts under hot keys are counted.
 BUCKETS = 1 << 18
 SALTS = 8
@@ -63,23 +66,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, id (a hash of the text's words: equal for copies), fp (SimHash of the shingles) and bands of every row; a null text counts as one without words."""
+    """key, id (a hash of the text's words: equal for copies), size (different shingles), fp (SimHash of the shingles) and bands of every row; a null text counts as one without words."""
     kind = dict(docs.dtypes)[key]
 
     def make():
         def run(batch: pa.RecordBatch):
-            ids, prints, keys = [], [], []
+            ids, sizes, prints, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
                 hashes = shingle_hashes(words, SHINGLE)
                 ids.append(_id(words))
                 prints.append(majority(hashes))
-                keys.append(bands(np.unique(hashes) if words else np.array([_id(words)], np.uint64)))
-            return {"key": batch.column(0), "id": np.array(ids, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64), "bands": pa.array(keys, pa.list_(pa.int64()))}
+                distinct = np.unique(hashes) if words else np.array([_id(words)], np.uint64)
+                sizes.append(len(distinct))
+                keys.append(bands(distinct))
+            return {"key": batch.column(0), "id": np.array(ids, np.uint64).view(np.int64), "size": sizes, "fp": np.array(prints, np.uint64).view(np.int64), "bands": pa.array(keys, pa.list_(pa.int64()))}
 
         return run
 
-    return map_texts(docs.select(docs[key].alias("key"), docs[text].alias("text")), make, f"key {kind}, id long, fp long, bands array<long>").withColumnRenamed("key", key)
+    return map_texts(docs.select(docs[key].alias("key"), docs[text].alias("text")), make, f"key {kind}, id long, size long, fp long, bands array<long>").withColumnRenamed("key", key)
 
 
 def _shared(keyed: DataFrame, on: list[str]) -> DataFrame:
@@ -88,17 +93,34 @@ def _shared(keyed: DataFrame, on: list[str]) -> DataFrame:
     return keyed.join(sizes, on)
 
 
+#: Texts of sizes (sa, sb) that differ more can't be similar: known before any set is moved.
+_FIT = "5 * least(sa, sb) >= 4 * greatest(sa, sb)"
+
+
 def _pairs(rows: DataFrame, on: list[str]) -> DataFrame:
-    """All pairs (a, b), a < b, of ids under one key."""
-    x, y = rows.select(*on, F.col("id").alias("a")), rows.select(*on, F.col("id").alias("b"))
-    return x.join(y, on).where(F.col("a") < F.col("b")).select("a", "b")
+    """All pairs (a, b), a < b, of ids of fitting sizes under one key."""
+    x, y = (rows.select(*on, F.col("id").alias(i), F.col("size").alias(f"s{i}")) for i in "ab")
+    return x.join(y, on).where((F.col("a") < F.col("b")) & F.expr(_FIT)).select("a", "b")
+
+
+def _with_pivots(rows: DataFrame, pivots: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with their key's pivot. A key may have a third of all ids: its pivot is copied under salts."""
+    copies = pivots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(copies, [*on, "_salt"])
 
 
 def _pivot_pairs(hot: DataFrame, on: list[str]) -> DataFrame:
-    """Each id with the least id under its key. A key may have a third of all ids: its pivot is copied under salts."""
-    pivots = hot.groupBy(*on).agg(F.min("id").alias("p")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = hot.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int"))
-    return rows.join(pivots, [*on, "_salt"]).where(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    """Each id with the least id under its key, if their sizes fit."""
+    pivots = hot.groupBy(*on).agg(F.min(F.struct("id", "size")).alias("d")).select(*on, F.col("d.id").alias("a"), F.col("d.size").alias("sa"))
+    met = _with_pivots(hot.withColumnRenamed("size", "sb"), pivots, on)
+    return met.where((F.col("id") != F.col("a")) & F.expr(_FIT)).select("a", F.col("id").alias("b"))
+
+
+def _turn_pairs(rest: DataFrame, on: list[str], turn: int) -> DataFrame:
+    """Each id with one that is drawn for this turn among those under its key, if that lies in another component: a pair a row at most."""
+    drawn = rest.groupBy(*on).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id").alias("p"), F.col("size").alias("sa"), F.col("root").alias("of"))).alias("d"))
+    met = _with_pivots(rest.withColumnRenamed("size", "sb"), drawn.select(*on, "d.p", "d.sa", "d.of"), on)
+    return met.where((F.col("root") != F.col("of")) & F.expr(_FIT)).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
 def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -137,11 +159,13 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _simhash_pairs(classes: DataFrame) -> DataFrame:
     """The least id of a fingerprint with its other ids, and the least ids of linked fingerprints: in proportion to the ids and links."""
-    least = classes.groupBy("fp").agg(F.min("id").alias("p"))
-    same = classes.join(least, "fp").where(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b"))
-    linked = simhash_links(least.select("fp"), distance=MAX_DISTANCE)
-    near = linked.join(least.select(F.col("fp").alias("a"), F.col("p").alias("pa")), "a").join(least.select(F.col("fp").alias("b"), F.col("p").alias("pb")), "b")
-    return same.unionByName(near.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")))
+    least = classes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("d")).select("fp", F.col("d.id").alias("p"), F.col("d.size").alias("sp"))
+    same = classes.join(least, "fp").where(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b"), F.col("sp").alias("sa"), F.col("size").alias("sb"))
+    linked = simhash_links(least.select("fp"), distance=MAX_DISTANCE).withColumnsRenamed({"a": "fa", "b": "fb"})
+    for i in "ab":
+        linked = linked.join(least.toDF(f"f{i}", f"p{i}", f"s{i}"), f"f{i}")
+    near = linked.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "sa", "sb")
+    return same.unionByName(near).where(_FIT).select("a", "b")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -173,44 +197,47 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return run
 
-    # A pair whose sizes differ too much can't be similar: known before its sets are moved.
-    sized = sets.select("id", F.size("set").alias("size"))
-    both = pairs.join(sized.withColumnsRenamed({"id": "a", "size": "sa"}), "a").join(sized.withColumnsRenamed({"id": "b", "size": "sb"}), "b")
-    fit = both.where(F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb")).select("a", "b")
-    filled = fit.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    filled = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return map_texts(filled.select("a", "b", "x", "y"), make, "a long, b long", rows=256)
 
 
 def _crossing(hot: DataFrame, on: list[str], roots: DataFrame) -> DataFrame:
     """The rows (with root) of hot keys under which several components lie."""
-    named = hot.select(*on, "id").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).select(*on, "id", "root")
+    named = hot.select(*on, "id", "size").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).select(*on, "id", "size", "root")
     mixed = named.groupBy(on).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(F.col("_lo") < F.col("_hi"))
     return named.join(mixed.select(*on), on, "left_semi")
 
 
 def link_roots(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
-    """node and root (least id of its component) of all ids with a link. ``classes``: written; id, least (key), fp and bands of the different texts."""
+    """node and root (least id of its component) of all ids with a link. ``classes``: written; id, least (key), size, fp and bands of the different texts."""
     first = ["band", "h"]
-    shared = written(_shared(classes.select("id", F.posexplode("bands").alias(*first)), first), "band-keys")  # rows under keys that one text alone has are gone
+    shared = written(_shared(classes.select("id", "size", F.posexplode("bands").alias(*first)), first), "band-keys")  # rows under keys that one text alone has are gone
     hot = shared.where(F.col("n") > hot_key)
     found = _pairs(shared.where(F.col("n") <= hot_key), first).unionByName(_pivot_pairs(hot, first)).unionByName(_simhash_pairs(classes))
     pairs = written(found.distinct(), "candidates")
-    sets = written(_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), key, text), "shingle-sets")
-    similar = written(_similar(pairs, sets), "similar")
-    roots = components(similar)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
+    sets = written(_sets(docs, classes, wanted, key, text), "shingle-sets")
+    roots = components(written(_similar(pairs, sets), "similar"))
     rest = written(_crossing(hot, first, roots), "crossing")
-    if not rest.isEmpty():
-        across = written(_prefix_pairs(rest, sets), "across")
-        similar = written(similar.unionByName(_similar(across, sets)), "similar")
-        roots = components(similar)
-    return roots
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The components with what is similar among ``pairs``: a component counts as a star, whatever its links."""
+        stars = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return components(written(stars.unionByName(_similar(written(pairs, "across"), sets)), "similar"))
+
+    for turn in range(TURNS):
+        if rest.isEmpty():
+            return roots
+        roots = joined(_turn_pairs(rest, first, turn))
+        rest = written(_crossing(rest.drop("root"), first, roots), "crossing")
+    return roots if rest.isEmpty() else joined(_prefix_pairs(rest, sets))
 
 
 def kept_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
     """_keep: the least key of every component of the rows with a key, each once. Written; all that was written before goes."""
     with scratch() as stays:
         signed = written(signatures(docs, key, text), "signatures")
-        classes = written(signed.groupBy("id").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+        classes = written(signed.groupBy("id").agg(F.min(key).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
         discard(signed)
         roots = link_roots(docs, classes, key, text, hot_key)
         of_class = classes.join(roots, F.col("id") == F.col("node"), "left").select("least", F.coalesce("root", "id").alias("root"))

@@ -230,7 +230,7 @@ def test_large_group_gives_no_square_of_pairs(spark):
     texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(200)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     classes = near_copies.signatures(d).withColumnRenamed("doc_id", "least")
-    keyed = near_copies._shared(classes.select("id", F.posexplode("bands").alias("band", "h")), ["band", "h"])
+    keyed = near_copies._shared(classes.select("id", "size", F.posexplode("bands").alias("band", "h")), ["band", "h"])
     assert near_copies._pivot_pairs(keyed.where("n > 64"), ["band", "h"]).distinct().count() < 200 * 32
     assert near_copies.keep_one(d).count() == 1
 
