@@ -31,7 +31,7 @@ BANDS, ROWS = 32, 5
 #: Different texts under one key from which they are first compared with one of them, not all with each other.
 HOT_KEY = 4
 #: Further turns in which texts under a hot key are compared with one of them in another component.
-TURNS = 2
+TURNS = 4
 #: Cells in which shingles of texts under hot keys are counted.
 BUCKETS = 1 << 18
 SALTS = 8
