@@ -92,10 +92,11 @@ def links(distinct: DataFrame, hot_key: int = HOT_KEY, distance: int = DISTANCE)
     """
     if not 0 <= distance <= MAX_DISTANCE:
         raise ValueError(f"the index finds pairs of at most {MAX_DISTANCE} differing bits")
-    # Each fingerprint becomes 64 rows: they are dealt out before, as the table itself lies in few files.
+    # Each fingerprint becomes 64 rows: they are dealt out before, as the table itself lies in few files. They are dealt
+    # by a hash, not by fp: after a grouping by fp Spark would leave that out, and its own exchange shrinks to few tasks.
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     on = ["seg", "bit", "rest"]
-    shared = written(_hot_counted(_segment_keys(distinct.repartition(tasks, "fp"), "fp", [0, 32], 32, on), on), "simhash-keys")
+    shared = written(_hot_counted(_segment_keys(distinct.repartition(tasks, F.xxhash64("fp")), "fp", [0, 32], 32, on), on), "simhash-keys")
     near = lambda: F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
     def pairs(rows: DataFrame, by: list[str], first) -> DataFrame:
