@@ -62,6 +62,10 @@ class EngineConfig:
 TINY = EngineConfig(memtable_max_bytes=256, block_size=64, wal_segment_roll_bytes=1024, size_tiered_fan_in=2, l0_compaction_trigger=3, tombstone_grace_seconds=30, bg_tick_ms=100)
 
 
+#: The name under which the active configuration is kept (a fixed value).
+ACTIVE = ".active"
+
+
 def find_config(name: str, folder: str | Path = ".") -> Path | None:
     """The first that exists of: name, name.json, config/name, config/name.json."""
     base = Path(folder)
@@ -69,8 +73,8 @@ def find_config(name: str, folder: str | Path = ".") -> Path | None:
 
 
 def load_config(name: str | None = None, folder: str | Path = ".") -> EngineConfig:
-    """The named configuration, else one named ``default``, else the built-in values. A named one that is missing raises."""
-    found = find_config(name or "default", folder)
+    """The named configuration, else the active one, else one named ``default``, else the built-in values. A named one that is missing raises."""
+    found = find_config(name, folder) if name else find_config(ACTIVE, folder) or find_config("default", folder)
     if found is None:
         if name:
             raise FileNotFoundError(name)
@@ -83,3 +87,8 @@ def save_config(config: EngineConfig, name: str, folder: str | Path = ".") -> Pa
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(config.to_json())
     return path
+
+
+def set_active(config: EngineConfig, folder: str | Path = ".") -> Path:
+    """Later starts without a name take this configuration; what runs already keeps its own."""
+    return save_config(config, ACTIVE, folder)

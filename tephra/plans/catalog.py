@@ -94,11 +94,48 @@ def wal_segments(spark, d):
     return folds.wal_segments(R.stock(spark, d), 4096)
 
 
-@query()
+def _overwrites_sql(columns: str, cooldown_ms: int) -> str:
+    """The fold of rotate_epochs: a key's former entry counts only if it was written after the last rotation (cut)."""
+    numbered = f"n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq_no) AS i, lag(seq_no) OVER k AS prev_no, lag(size) OVER k AS prev_size FROM (SELECT *, CAST(substr(key, 6) AS BIGINT) % 4 AS stream, {SIZE} AS size FROM log) WINDOW k AS (PARTITION BY key ORDER BY seq_no))"
+    step = f"SELECT n.stream, n.i, n.seq_no, n.key, f.following AS epoch, f.cut, f.total + n.size - CASE WHEN n.prev_no > f.cut THEN n.prev_size ELSE 0 END AS grown, (grown >= 128 AND (f.last_ms IS NULL OR 7 * n.seq_no - f.last_ms >= {cooldown_ms})) AS rot, f.last_ms FROM f JOIN n ON n.stream = f.stream AND n.i = f.i + 1"
+    return f""", {numbered}, f AS (SELECT DISTINCT stream, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq_no, '' AS key, CAST(0 AS BIGINT) AS epoch, CAST(0 AS BIGINT) AS following, CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS total_bytes, CAST(0 AS BIGINT) AS total, CAST(NULL AS BIGINT) AS last_ms FROM n
+UNION ALL SELECT stream, i, seq_no, key, epoch, CASE WHEN rot THEN epoch + 1 ELSE epoch END, CASE WHEN rot THEN seq_no ELSE cut END, grown, CASE WHEN rot THEN 0 ELSE grown END, CASE WHEN rot THEN 7 * seq_no ELSE last_ms END FROM ({step})) SELECT {columns} FROM f WHERE i > 0"""
+
+
+def _user_stream(spark, d) -> DataFrame:
+    """The log in four streams of users, a write every seven milliseconds."""
+    return R.log(spark, d).withColumn("stream", F.expr("CAST(substr(key, 6) AS BIGINT) % 4")).withColumn("at_ms", 7 * F.col("seq_no"))
+
+
+@query(sql(_overwrites_sql("stream, seq_no, key, epoch, total_bytes", 0), "log", recursive=True))
+def rotate_overwrites(spark, d):
+    return folds.rotate_epochs(_user_stream(spark, d), 128)
+
+
+@query(sql(_overwrites_sql("stream, seq_no, key, epoch, total_bytes", 700), "log", recursive=True))
+def rotate_cooldown(spark, d):
+    return folds.rotate_epochs(_user_stream(spark, d), 128, cooldown_ms=700)
+
+
+def _queue_sql(columns: str, above: int, max_bytes: int, queue: int, flush_every: int) -> str:
+    """Rotation with a bounded queue, one grace and a block; with flush_every also the rejections and flushes."""
+    freed = f"(n.i % {flush_every} = 0 AND f.immutables > 0)" if flush_every else "FALSE"
+    added = "CASE WHEN stuck THEN 0 ELSE n.size END" if flush_every else "n.size"
+    step = f"SELECT n.stream, n.i, n.seq_no, n.key, f.following AS epoch, {freed} AS freed, f.immutables - CASE WHEN freed THEN 1 ELSE 0 END AS waiting, (f.blocked AND NOT freed) AS stuck, f.grace, f.total + {added} AS grown, (NOT stuck AND grown >= CASE WHEN f.grace THEN {int(max_bytes * 1.25)} ELSE {max_bytes} END) AS reached, (reached AND waiting < {queue}) AS rot FROM f JOIN n ON n.stream = f.stream AND n.i = f.i + 1"
+    return f""", n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq_no) AS i, {SIZE} AS size FROM stock WHERE seq_no > {above}), f AS (SELECT DISTINCT stream, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq_no, '' AS key, 'OK' AS outcome, CAST(0 AS BIGINT) AS epoch, CAST(0 AS BIGINT) AS following, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS immutables, FALSE AS grace, FALSE AS blocked FROM n
+UNION ALL SELECT stream, i, seq_no, key, CASE WHEN stuck THEN 'Backpressure' ELSE 'OK' END, epoch, CASE WHEN rot THEN epoch + 1 ELSE epoch END, CASE WHEN rot THEN 0 ELSE grown END, waiting + CASE WHEN rot THEN 1 ELSE 0 END, (NOT rot AND (grace OR reached)), stuck OR (reached AND NOT rot AND grace) FROM ({step})) SELECT {columns} FROM f WHERE i > 0"""
+
+
+@query(sql(_queue_sql("stream, seq_no, key, outcome, epoch, immutables, grace", -1, 1024, 2, 40), "stock", recursive=True))
 def backpressure_sim(spark, d):
     return folds.simulate_backpressure(R.stock(spark, d), 1024, 2, 40)
 
 
+@query(sql(_queue_sql("stream, seq_no, key, epoch, immutables, grace, blocked", R.WATERMARK, 1024, 8, 0), "stock", recursive=True))
+def rebuild_memtables(spark, d):
+    return folds.rebuild(R.stock(spark, d), R.WATERMARK, 1024, 8)
+
+
 @query(sql(LATEST.format(f"(SELECT * FROM log WHERE seq_no > {R.WATERMARK})"), "log"))
 def recover_state(spark, d):
     return resolve.latest(folds.recover(R.log_entries(spark, d), R.WATERMARK))
@@ -266,6 +303,19 @@ def request_parse(spark, d):
     return request_source.parse_requests(lines).select("req_no", "op", "key", "value")
 
 
+@query("""SELECT event_id AS req_no, ['Stats', 'BgStatus', 'CompactionRun', 'CompactionRun', 'Shutdown', 'Configure', 'Put', NULL][event_id % 8 + 1] AS kind,
+CASE WHEN event_id % 8 = 2 THEN CAST(event_id AS VARCHAR) || ',' || CAST(user_id AS VARCHAR) END AS files, CASE WHEN event_id % 8 = 4 THEN user_id % 2 = 0 END AS graceful, CASE WHEN event_id % 8 = 5 THEN CAST(user_id AS VARCHAR) END AS fan_in FROM events""")
+def command_parse(spark, d):
+    e, rest = R.read(spark, d, "events"), F.col("event_id") % 8
+    bodies = ['"Stats"', '"BgStatus"', '{"CompactionRun":{"files":[%d,%d]}}', '{"CompactionRun":{"files":null}}', '{"Shutdown":{"graceful":%s}}', '{"Configure":{"name":"n","size_tiered_fan_in":%d}}', '{"Put":{"key":"%d","value":""}}', '"Nothing"']
+    given = {2: [F.col("event_id"), F.col("user_id")], 4: [(F.col("user_id") % 2 == 0).cast("string")], 5: [F.col("user_id")], 6: [F.col("user_id")]}
+    line = F.lit(None).cast("string")
+    for i, body in enumerate(bodies):
+        line = F.when(rest == i, F.format_string(body, *given[i]) if i in given else F.lit(body)).otherwise(line)
+    parsed = request_source.parse_commands(e.select(F.col("event_id").alias("req_no"), line.alias("line")))
+    return parsed.select("req_no", "kind", F.array_join(F.col("files").cast("array<string>"), ",").alias("files"), "graceful", F.col("settings")["size_tiered_fan_in"].alias("fan_in"))
+
+
 @query("SELECT event_id AS req_no, CASE WHEN event_type = 'error' THEN '{\"Error\":\"' ELSE '{\"Ok\":\"' END || event_type || '\"}' AS line FROM events")
 def response_json(spark, d):
     rows = R.read(spark, d, "events").select(F.col("event_id").alias("req_no"), F.when(F.col("event_type") == "error", "Corruption").otherwise("OK").alias("status"), F.col("event_type").alias("message"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ class VersionedTable:
         self.store = ManifestStore(spark, self.base)
         self.events = EventLog(self.config.event_log_path) if self.config.event_log_path != EngineConfig().event_log_path else None
         self.paused = self.closed = False
+        self.counters, self.last_flush = Counter(), None
+        self._lock, self._busy, self._running = threading.Lock(), set(), 0
 
     # Reading
 
@@ -48,6 +52,8 @@ class VersionedTable:
         """Entries of a snapshot's runs; with a key (or a range of keys) only of those whose range can hold it."""
         manifest = manifest or self.store.load()
         tables = [t for t in manifest["tables"] if key is None or t["min_key"] <= (upto or key) and key <= t["max_key"]]
+        if key is not None:
+            self.counters.update(runs_consulted=len(tables), runs_skipped=len(manifest["tables"]) - len(tables))
         return read_runs(self.spark, {t["id"]: self._run_path(t) for t in tables})
 
     def entries(self, epoch: int | None = None, key: str | None = None, upto: str | None = None) -> DataFrame:
@@ -61,6 +67,7 @@ class VersionedTable:
 
     def get(self, key: str, epoch: int | None = None) -> tuple[str, str | None]:
         row = resolve.get(self.entries(epoch, key), key).first()
+        self.counters.update(lookups=1, lookups_found=row["status"] == Status.FOUND.value)
         return row["status"], row["value"]
 
     def multi_get(self, keys: DataFrame, epoch: int | None = None) -> DataFrame:
@@ -82,6 +89,7 @@ class VersionedTable:
         if self.closed:
             raise EngineError(Status.STORE_CLOSED, self.base)
         if self.config.l0_stop_writes and len(self.store.load()["tables"]) >= self.config.l0_stop_writes:
+            self.counters["write_stalls"] += 1
             raise EngineError(Status.BACKPRESSURE, "too many runs")
         with scratch() as stays:
             batch = written(requests.select("req_no", "op", "key", "value"), "batch")
@@ -144,12 +152,14 @@ class VersionedTable:
         top, size = log.agg(F.max("seq_no"), F.sum(record_size())).first()
         if top is None:
             return None
+        began = time.time()
         run_id = manifest["next_sst_id"]
         name = f"{run_id:06d}-{manifest['epoch'] + 1:06d}"
         write_run(resolve.latest(resolve.entries_of(log.where(F.col("seq_no") <= top))), f"{self.base}/runs/{name}", size)
         table = self._table(run_id, name)
         new = self.store.commit(manifest | {"next_sst_id": run_id + 1, "flushed_seq_no_watermark": max(top, manifest["flushed_seq_no_watermark"]), "tables": [table, *manifest["tables"]]})
         self.trim_log(new)
+        self.last_flush = {"sstable_id": run_id, "file": name, "entries": table["num_entries"], "bytes": table["file_size"], "dur_ms": int(1000 * (time.time() - began)), "completed_at_ms": int(1000 * time.time())}
         self._event("FLUSH", sstable_id=run_id, entries=table["num_entries"], manifest_epoch=new["epoch"])
         return table
 
@@ -162,11 +172,15 @@ class VersionedTable:
         return [c["folder"] for c in gone]
 
     def compact(self, ids: list[int] | None = None) -> dict | None:
-        """Merge the given runs, or those that the picker chooses; statistics of the job, or None if there is nothing to do."""
+        """Merge the given runs, or those that the picker chooses; statistics of the job, or None if there is nothing to do.
+
+        A job holds its runs and one of ``compaction_max_concurrent`` slots until it ends; without a free slot, or if one
+        of the runs is held, the call gets Conflict. With ``compaction_io_mb_per_s`` it takes as long as its output needs.
+        """
         manifest = self.store.load()
         if not manifest["tables"]:
             return None
-        tables = self.spark.createDataFrame([(t["id"], t["file_size"]) for t in manifest["tables"]], "id long, file_size long")
+        tables = self.spark.createDataFrame([(t["id"], t["file_size"], t["id"] in self._busy) for t in manifest["tables"]], "id long, file_size long, busy boolean")
         if ids is None:
             if self.paused:
                 raise EngineError(Status.PAUSED, "compaction")
@@ -175,6 +189,26 @@ class VersionedTable:
                 return None
         else:
             compaction.check_inputs(tables, ids)
+        self._reserve(ids)
+        try:
+            return self._compact(manifest, ids)
+        finally:
+            self._release(ids)
+
+    def _reserve(self, ids: list[int]) -> None:
+        """All of the runs and a slot, or Conflict and nothing."""
+        with self._lock:
+            if self._running >= self.config.compaction_max_concurrent or self._busy & set(ids):
+                raise EngineError(Status.CONFLICT, f"runs {ids}: no free slot, or held by another job")
+            self._running += 1
+            self._busy |= set(ids)
+
+    def _release(self, ids: list[int]) -> None:
+        with self._lock:
+            self._running -= 1
+            self._busy -= set(ids)
+
+    def _compact(self, manifest: dict, ids: list[int]) -> dict:
         own = [t for t in manifest["tables"] if t["id"] in ids]
         run_id = manifest["next_sst_id"]
         name = f"{run_id:06d}-{manifest['epoch'] + 1:06d}"
@@ -182,6 +216,9 @@ class VersionedTable:
         parts = read_runs(self.spark, {t["id"]: self._run_path(t) for t in own}).drop("run_id")
         write_merged(parts, compaction.merge_runs, f"{self.base}/runs/{name}", sum(t["file_size"] for t in own))
         table = self._table(run_id, name)
+        rate = self.config.compaction_io_mb_per_s
+        if rate:
+            time.sleep(max(0.0, table["file_size"] / (rate << 20) - (time.time() - began)))
         keys_in = sum(t["num_entries"] for t in own)
         job = {"job_id": len(self.jobs()), "inputs": ids, "output": run_id, "bytes_in": sum(t["file_size"] for t in own), "bytes_out": table["file_size"], "keys_in": keys_in, "keys_out": table["num_entries"], "keys_dropped": max(0, keys_in - table["num_entries"]), "duration_ms": int(1000 * (time.time() - began))}
         self.store.commit(manifest | {"next_sst_id": run_id + 1, "tables": compaction.replace_in_manifest(manifest["tables"], ids, table)}, job)
@@ -245,6 +282,50 @@ class VersionedTable:
         """Later writes raise StoreClosed. The log is durable, so nothing is flushed."""
         self.closed = True
 
+    def shutdown(self, graceful: bool = True) -> dict | None:
+        """No more writes. Gracefully the log is flushed, after jobs that run have ended or ``shutdown_timeout_ms`` is over; fast, it is left to the next start."""
+        self.closed = True
+        end = time.time() + self.config.shutdown_timeout_ms / 1000
+        while graceful and self._running and time.time() < end:
+            time.sleep(0.05)
+        flushed = self.flush() if graceful else None
+        self._event("SHUTDOWN", graceful=graceful, flushed=flushed is not None)
+        return flushed
+
+    # Reports
+
+    def stats(self) -> dict[str, object]:
+        """Figures of the log, of what is unflushed, of runs, reads, manifest and jobs. One aggregation over the unflushed log; the rest is in the driver."""
+        manifest, commits = self.store.load(), self.commits()
+        watermark, tables, c = manifest["flushed_seq_no_watermark"], manifest["tables"], self.config
+        unflushed = resolve.latest(resolve.entries_of(self.log(watermark)))
+        size = entry_size(overhead=c.memtable_size_overhead_bytes_per_entry)
+        entries, size = unflushed.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        lookups = self.counters["lookups"]
+        return {
+            "log_batches": len(commits), "log_records": sum(x["last"] - x["first"] + 1 for x in commits), "last_seq_no": self.last_seq(),
+            "memtable_overhead_bytes": c.memtable_size_overhead_bytes_per_entry, "rotation_cooldown_ms": c.rotation_cooldown_ms,
+            "active_entries": entries, "active_bytes": size, "memtable_max_bytes": c.memtable_max_bytes, "flush_due": size >= c.memtable_max_bytes,
+            "writes_blocked": bool(c.l0_stop_writes) and len(tables) >= c.l0_stop_writes, "write_stalls": self.counters["write_stalls"],
+            "sst_count": len(tables), "sst_bytes": sum(t["file_size"] for t in tables), "sst_entries": sum(t["num_entries"] for t in tables), "next_sst_id": manifest["next_sst_id"], "watermark": watermark,
+            "lookups": lookups, "lookups_found": self.counters["lookups_found"], "found_rate": 100.0 * self.counters["lookups_found"] / lookups if lookups else 0.0,
+            "runs_consulted": self.counters["runs_consulted"], "runs_skipped": self.counters["runs_skipped"],
+            "manifest_path": f"{self.base}/manifest", "manifest_version": manifest["manifest_version"], "manifest_epoch": manifest["epoch"], "versions_published": len(self.store.epochs()),
+            "compaction_running": self._running, "compaction_paused": self.paused, "closed": self.closed, "bg_tick_ms": c.bg_tick_ms, "shutdown_timeout_ms": c.shutdown_timeout_ms,
+        }
+
+    def status(self) -> dict[str, object]:
+        """What the table's jobs do and did: gates, runs held, last flush of this process, last compaction, retired runs that wait."""
+        jobs, now = self.jobs(), int(1000 * time.time())
+        waiting = [at for name, at in self.store.retired() if self.store.files.exists(f"runs/{name}")]
+        return {
+            "closed": self.closed, "paused": self.paused, "running_jobs": self._running, "files_in_progress": sorted(self._busy),
+            "last_flush": self.last_flush, "total_jobs": len(jobs), "last_compaction": jobs[-1] if jobs else None,
+            "sst_count": len(self.store.load()["tables"]), "l0_compaction_trigger": self.config.l0_compaction_trigger,
+            "pending_deletions": len(waiting), "oldest_waiting_s": max(((now - at) // 1000 for at in waiting), default=0),
+            "write_stalls": self.counters["write_stalls"],
+        }
+
     def _event(self, title: str, **attrs) -> None:
         if self.events:
             self.events.record(title, **attrs)

@@ -148,6 +148,34 @@ def test_gates_and_recovery(spark, tmp_path):
     assert e.value.status is Status.CORRUPTION
 
 
+def test_reports_slots_and_shutdown(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), TINY.replace(compaction_io_mb_per_s=1))
+    for i in range(2):
+        table.write(spark.createDataFrame([(1, "PUT", f"k{i}", "x")], REQ))
+        table.flush()
+    table.write(spark.createDataFrame([(1, "PUT", "k9", "xyz"), (2, "DEL", "k0", None)], REQ))
+    assert table.get("k9") == ("FOUND", "xyz") and table.get("k1") == ("FOUND", "x") and table.get("a") == ("NOT_FOUND", None)
+    s = table.stats()
+    assert (s["log_batches"], s["log_records"], s["last_seq_no"], s["active_entries"], s["active_bytes"]) == (1, 2, 4, 2, 2 + 3 + 32 + 2 + 32)
+    assert (s["sst_count"], s["sst_entries"], s["watermark"], s["lookups"], s["lookups_found"], s["manifest_epoch"]) == (2, 2, 2, 3, 2, 2)
+    assert s["runs_consulted"] + s["runs_skipped"] >= 6 and s["runs_skipped"] > 0
+    table._reserve([0])
+    assert table.compact() is None  # the picker leaves out what is held
+    with pytest.raises(EngineError) as e:
+        table.compact([0, 1])
+    assert e.value.status is Status.CONFLICT
+    with pytest.raises(EngineError) as e:
+        table._reserve([1])  # free, but the one slot is taken
+    assert e.value.status is Status.CONFLICT
+    assert table.status()["files_in_progress"] == [0]
+    table._release([0])
+    job = table.compact([0, 1])
+    status = table.status()
+    assert status["last_compaction"] == job and status["running_jobs"] == 0 and status["pending_deletions"] == 2 and status["last_flush"]["sstable_id"] == 1
+    assert table.shutdown()["num_entries"] == 2 and table.closed and table.shutdown(graceful=False) is None
+    assert {r["key"]: r["value"] for r in table.state().collect()} == {"k1": "x", "k9": "xyz"}
+
+
 def _stream(spark, tmp_path, rows):
     for i in range(0, len(rows), 20):
         spark.createDataFrame(rows[i : i + 20], REQ).coalesce(1).write.mode("append").json(str(tmp_path / "in"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tephra.config import TINY, EngineConfig, load_config, save_config
+from tephra.config import TINY, EngineConfig, load_config, save_config, set_active
 from tephra.functions import bloom
 from tephra.functions.sizes import bloom_bits, bloom_hashes, entry_size, record_size
 from tephra.model import EngineError, Status
@@ -13,7 +13,7 @@ from tephra.operators import admission, compaction, folds, maintenance, resolve
 from tephra.plans import relations as R
 from tephra.plans.catalog import QUERIES
 from tephra.sources import eventlog, sst, wal
-from tephra.sources.requests import parse_requests
+from tephra.sources.requests import parse_commands, parse_requests
 
 REQ = "req_no long, op string, key string, value string"
 ENTRIES = "position int, key string, value string, seq_no long, is_tombstone boolean"
@@ -143,6 +143,25 @@ def test_backpressure(spark):
     assert [r["outcome"] for r in got[:5]] == ["OK"] * 5 and all(r["outcome"] == "Backpressure" for r in got[5:])
 
 
+def test_rebuild_drops_nothing_and_cooldown_delays(spark):
+    schema = "stream long, seq_no long, key string, value string"
+    df = spark.createDataFrame([(0, i, f"k{i:03d}", "x" * 28) for i in range(12)], schema)  # 64 bytes each
+    got = folds.rebuild(df, 1, 128, 1).orderBy("seq_no").collect()
+    assert [r["seq_no"] for r in got] == list(range(2, 12)) and [r["epoch"] for r in got] == [0, 0] + [1] * 8
+    assert [r["grace"] for r in got[:5]] == [False, False, False, True, True] and [r["blocked"] for r in got] == [False] * 4 + [True] * 6
+    timed = df.withColumn("at_ms", F.col("seq_no") * 10)
+    assert [r["epoch"] for r in folds.rotate_epochs(timed, 128, cooldown_ms=50).orderBy("seq_no").collect()] == [0, 0] + [1] * 5 + [2] * 5
+    with pytest.raises(ValueError):
+        folds.rotate_epochs(df, 128, cooldown_ms=50)
+
+
+def test_commands(spark):
+    lines = ['"Stats"', ' "FlushNow" ', '"Put"', '{"CompactionRun":{"files":[3,1]}}', '{"CompactionRun":{"files":null}}', '{"Shutdown":{"graceful":true}}', '{"Configure":{"name":"a","block_size":64}}', '{"Del":{"key":"x"}}', '{"Drop":{}}', "garbage", None]
+    got = [tuple(r)[2:] for r in parse_commands(spark.createDataFrame(list(enumerate(lines)), "no long, line string")).orderBy("no").collect()]
+    none = (None, None, None)
+    assert got == [("Stats", *none), ("FlushNow", *none), (None, *none), ("CompactionRun", [3, 1], None, None), ("CompactionRun", *none), ("Shutdown", None, True, None), ("Configure", None, None, {"name": "a", "block_size": "64"}), ("Del", *none), (None, *none), (None, *none), (None, *none)]
+
+
 def test_last_value_of_a_frequent_key(spark):
     from tephra.functions.ordered import last_value, ordered_prefix
 
@@ -227,6 +246,10 @@ def test_config(tmp_path):
     assert load_config("tiny", tmp_path) == TINY and TINY.retired_run_grace_seconds == 30
     with pytest.raises(FileNotFoundError):
         load_config("other", tmp_path)
+    save_config(TINY.replace(block_size=1), "default", tmp_path)
+    assert load_config(folder=tmp_path).block_size == 1
+    set_active(TINY, tmp_path)
+    assert load_config(folder=tmp_path) == TINY and load_config("default", tmp_path).block_size == 1
 
 
 def test_all_runs_pass_through_run_files(spark, sf_dir):
