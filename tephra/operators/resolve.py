@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import last_value
 from ..model import Status
 
+#: Runs of a manifest that are broadcast at once; a longer manifest is taken in parts of about so many.
+RUNS_AT_ONCE = 100_000
+
 _LAST = ["seq_no", "is_tombstone", "value"]
 
 
@@ -54,9 +59,18 @@ def layered_get(layers: DataFrame, keys: DataFrame) -> DataFrame:
     return with_status(found).join(found.select("key", "position"), "key")
 
 
-def prune_runs(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and id of the runs whose key range holds the key. A manifest has a row a run, which every reader holds anyway: it is broadcast."""
-    return keys.select("key").distinct().join(F.broadcast(manifest.select("id", "min_key", "max_key")), (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "id")
+def _met_runs(keys: DataFrame, manifest: DataFrame, cond, how: str, at_once: int) -> DataFrame:
+    """``keys`` joined with the manifest's rows by a condition on ranges. Its number of rows is read first: what is broadcast never exceeds about ``at_once`` of them."""
+    parts = max(1, -(-manifest.count() // at_once))
+    part = F.pmod(F.xxhash64("min_key", "max_key"), F.lit(parts)) if parts > 1 else F.lit(0)
+    joined = [keys.join(F.broadcast(manifest.where(part == i)), cond, how) for i in range(parts)]
+    return functools.reduce(DataFrame.unionByName, joined)
+
+
+def prune_runs(manifest: DataFrame, keys: DataFrame, at_once: int = RUNS_AT_ONCE) -> DataFrame:
+    """key and id of the runs whose key range holds the key. A manifest has a row a run, which every reader holds anyway: it is broadcast, in parts if it is long."""
+    inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
+    return _met_runs(keys.select("key").distinct(), manifest.select("id", "min_key", "max_key"), inside, "inner", at_once).select("key", "id")
 
 
 def block_lookup(blocks: DataFrame, keys: DataFrame) -> DataFrame:
@@ -71,7 +85,7 @@ def block_lookup(blocks: DataFrame, keys: DataFrame) -> DataFrame:
     return found.where("_asked = 1 AND _found IS NOT NULL").select("run_id", "key", F.col("_found").alias("block_no"))
 
 
-def lookup_trace(memory: DataFrame, runs: DataFrame, manifest: DataFrame, keys: DataFrame) -> DataFrame:
+def lookup_trace(memory: DataFrame, runs: DataFrame, manifest: DataFrame, keys: DataFrame, at_once: int = RUNS_AT_ONCE) -> DataFrame:
     """key, checked_memtable, sstables_consulted, range_skipped, hit_position (null: not found; -1: in memory).
 
     Runs are asked newest first up to the first that holds the key; a run whose range can't hold it is skipped.
@@ -80,6 +94,7 @@ def lookup_trace(memory: DataFrame, runs: DataFrame, manifest: DataFrame, keys:
     in_memory = memory.select("key", F.lit(-1).alias("_m")).distinct()
     held = runs.join(manifest.select(F.col("id").alias("run_id"), "position"), "run_id").join(asked, "key", "left_semi").groupBy("key").agg(F.min("position").alias("_p"))
     hit = asked.join(in_memory, "key", "left").join(held, "key", "left").select("key", F.coalesce("_m", "_p").cast("int").alias("hit_position"))
-    seen = hit.join(F.broadcast(manifest.select("position", "min_key", "max_key")), F.col("position") <= F.coalesce("hit_position", F.lit(2**31 - 1)), "left")
+    asked_runs = F.col("position") <= F.coalesce("hit_position", F.lit(2**31 - 1))
+    seen = _met_runs(hit, manifest.select("position", "min_key", "max_key"), asked_runs, "left", at_once)  # a key without runs in a part has a row of nulls there, which counts as none
     inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
     return seen.groupBy("key", "hit_position").agg(F.count_if(inside).alias("sstables_consulted"), F.count_if(~inside).alias("range_skipped")).select("key", F.lit(True).alias("checked_memtable"), "sstables_consulted", "range_skipped", "hit_position")

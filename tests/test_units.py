@@ -117,6 +117,19 @@ def test_tombstone_hides_older_value_and_empty_value_lives(spark):
     assert resolve.get(e, "a").first()["status"] == "TOMBSTONE"
 
 
+def test_long_manifests_are_met_in_parts(spark):
+    manifest = spark.createDataFrame([(i, i, f"k{i % 5}", f"k{i % 5 + i % 3}") for i in range(11)], "id long, position int, min_key string, max_key string")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(9)], "key string")
+    want = {(f"k{k}", i) for k in range(9) for i in range(11) if i % 5 <= k <= i % 5 + i % 3}
+    entries = spark.createDataFrame([(4, "k1", "x", 1, False)], "run_id long, key string, value string, seq_no long, is_tombstone boolean")
+    traces = []
+    for at_once in (2, 3, 100):
+        got = resolve.prune_runs(manifest, keys, at_once).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+        traces.append(sorted(map(str, resolve.lookup_trace(entries.where("run_id < 0"), entries, manifest, keys, at_once).collect())))
+    assert traces[0] == traces[1] == traces[2] and len(traces[0]) == 9
+
+
 def test_manifest_replacement():
     tables = [{"id": 5}, {"id": 3}, {"id": 4}, {"id": 1}]
     assert [t["id"] for t in compaction.replace_in_manifest(tables, [4, 3], {"id": 9})] == [5, 9, 1]
