@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame
 
 from ..functions.shared import discard, fresh_path, release, scratch, shared_dir, written
 
-__all__ = ["SLICE_ROWS", "discard", "fresh_path", "map_texts", "release", "scratch", "shared_dir", "slices", "written"]
+__all__ = ["SLICE_ROWS", "by_merge", "discard", "fresh_path", "map_texts", "release", "scratch", "shared_dir", "slices", "written"]
 
 #: Rows that an Arrow batch is cut into before it becomes Python objects.
 SLICE_ROWS = 512
 
 
+def by_merge(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: the join is by sort and merge, whatever Spark takes its size for.
+
+    Before anything has run, Spark takes a table's size for that of its compressed files, and leaves out the rows that
+    an explode adds: 64 times as many rows pass for a small side, and are collected by the driver to be broadcast.
+    """
+    return side.hint("merge")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_texts, scratch, written
+from .common import by_merge, discard, map_texts, scratch, written
 from .simhash import MAX_DISTANCE, SEED, components, majority, shingle_hashes, words_of
 from .simhash import links as simhash_links
 
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def _shared(keyed: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``keyed`` under keys that several ids have, with their number n."""
     sizes = keyed.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return keyed.join(sizes, on)
+    return keyed.join(by_merge(sizes), on)
 
 
 #: Texts of sizes (sa, sb) that differ more can't be similar: known before any set is moved.
@@ -100,13 +100,13 @@ _FIT = "5 * least(sa, sb) >= 4 * greatest(sa, sb)"
 def _pairs(rows: DataFrame, on: list[str]) -> DataFrame:
     """All pairs (a, b), a < b, of ids of fitting sizes under one key."""
     x, y = (rows.select(*on, F.col("id").alias(i), F.col("size").alias(f"s{i}")) for i in "ab")
-    return x.join(y, on).where((F.col("a") < F.col("b")) & F.expr(_FIT)).select("a", "b")
+    return x.join(by_merge(y), on).where((F.col("a") < F.col("b")) & F.expr(_FIT)).select("a", "b")
 
 
 def _with_pivots(rows: DataFrame, pivots: DataFrame, on: list[str]) -> DataFrame:
     """The rows with their key's pivot. A key may have a third of all ids: its pivot is copied under salts."""
     copies = pivots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(copies, [*on, "_salt"])
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(by_merge(copies), [*on, "_salt"])
 
 
 def _pivot_pairs(hot: DataFrame, on: list[str]) -> DataFrame:
@@ -154,7 +154,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     rows = written(map_texts(own, make, "id long, root long, n long, pos long, t long", rows=64), "prefixes")
     x, y = rows.alias("x"), rows.where("pos < n - (8 * n + 8) div 9 + 1").alias("y")
     fits = F.expr("x.t = y.t AND x.root != y.root AND x.n >= y.n AND 5 * y.n >= 4 * x.n AND 9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)")
-    return x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return x.join(by_merge(y), fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _simhash_pairs(classes: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _simhash_pairs(classes: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """id and set (shingles) of the wanted ids: of the rows with a class's least key those with its words, each id once."""
-    chosen = classes.join(wanted, "id", "left_semi").select("id", F.col("least").alias("_k"))
+    chosen = classes.join(by_merge(wanted), "id", "left_semi").select("id", F.col("least").alias("_k"))
 
     def make():
         def run(batch: pa.RecordBatch):
@@ -251,5 +251,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_key:
     """
     named = docs.where(F.col(key).isNotNull())
     keep = kept_keys(named, key, text, hot_key)
-    rows = named.join(keep, F.col(key) == F.col("_keep"), "left_semi").dropDuplicates([key])
+    rows = named.join(by_merge(keep), F.col(key) == F.col("_keep"), "left_semi").dropDuplicates([key])
     return rows.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_texts, written
+from .common import by_merge, discard, map_texts, written
 
 #: Words in a shingle, and most differing bits of a link. The index finds all pairs of up to MAX_DISTANCE differing bits:
 #: of two segments one then differs in at most one bit.
@@ -104,7 +104,7 @@ def links(distinct: DataFrame, hot_key: int = HOT_KEY, distance: int = DISTANCE)
         cond = F.col("a") < F.col("b")
         for c in by:
             cond = cond & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-        return x.join(y, cond & near() & first).select("a", "b")
+        return x.join(by_merge(y), cond & near() & first).select("a", "b")
 
     diff = F.col("a").bitwiseXOR(F.col("b"))
     low, high = diff.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(diff, 32)
@@ -132,7 +132,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def _hot_counted(keyed: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``keyed`` with the number n of rows under their key; rows under keys that one fingerprint alone has are gone."""
-    return keyed.join(keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), on)
+    return keyed.join(by_merge(keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)), on)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -235,6 +235,25 @@ def test_large_group_gives_no_square_of_pairs(spark):
     assert near_copies.keep_one(d).count() == 1
 
 
+@pytest.fixture
+def strict_broadcasts(spark):
+    """What Spark broadcasts by an estimate, not by measured sizes, must stay below 4 MB; the threshold for estimates is Spark's own."""
+    confs = {"spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.maxBroadcastTableSize": "4m"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    yield
+    for k in confs:
+        spark.conf.unset(k)
+
+
+def test_near_copies_broadcast_no_keys(spark, strict_broadcasts):
+    random.seed(11)
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(60)) for _ in range(1000)]
+    rows = [(2 * i + j, t + " end" * j) for i, t in enumerate(texts) for j in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(d).collect()) == list(range(0, 2000, 2))
+
+
 def test_near_duplicate_stage_drops_near_copies(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
