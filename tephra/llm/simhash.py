@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     salts = 16
     named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = fps.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    return rows.join(named, (rows.fp == named["class"]) & (rows.salt == named.salt)).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(by_merge(named), (rows.fp == named["class"]) & (rows.salt == named.salt)).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -198,7 +198,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     """
     named = docs.where(F.col(key).isNotNull())
     keep = near_duplicates(named, key, text, distance=distance).select(F.col("component_id").alias("_keep")).distinct()
-    rows = named.join(keep, F.col(key) == F.col("_keep"), "left_semi").dropDuplicates([key])
+    rows = named.join(by_merge(keep), F.col(key) == F.col("_keep"), "left_semi").dropDuplicates([key])
     return rows.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))
 
 

@@ -254,6 +254,15 @@ def test_near_copies_broadcast_no_keys(spark, strict_broadcasts):
     assert sorted(r["doc_id"] for r in near_copies.keep_one(d).collect()) == list(range(0, 2000, 2))
 
 
+def test_near_duplicates_broadcast_no_keys(spark, strict_broadcasts):
+    d = spark.range(2000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    got = simhash.near_duplicates(d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search("SortMergeJoin|BroadcastHashJoin", plan).group() == "SortMergeJoin"  # all rows with their classes
+    want = {f"{simhash.fingerprint(f'w{i}'):016x}" for i in range(2000)}
+    assert {r["fingerprint"] for r in got.collect()} == want
+
+
 def test_near_duplicate_stage_drops_near_copies(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
