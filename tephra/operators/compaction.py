@@ -76,16 +76,21 @@ def replace_in_manifest(tables: list, inputs: list[int], output) -> list:
     return [*rest[:at], output, *rest[at:]]
 
 
+def _run_ids(inputs: DataFrame) -> DataFrame:
+    """run_id of a job's inputs, broadcast: one number a run. Dealt out by run_id instead, the entries of a run would all meet in one task."""
+    return F.broadcast(inputs.select(F.col("id").alias("run_id")))
+
+
 def compacted(entries: DataFrame, inputs: DataFrame, output_id: int) -> DataFrame:
     """All runs' entries after the runs ``inputs`` (id) are merged into ``output_id``."""
-    ids = inputs.select(F.col("id").alias("run_id"))
+    ids = _run_ids(inputs)
     merged = latest(entries.join(ids, "run_id", "left_semi")).withColumn("run_id", F.lit(output_id).cast("long"))
     return entries.join(ids, "run_id", "left_anti").unionByName(merged, allowMissingColumns=True)
 
 
 def job_stats(entries: DataFrame, inputs: DataFrame, output_id: int) -> DataFrame:
     """One row: inputs, output, bytes and keys in and out, keys dropped, tombstones kept and dropped."""
-    own = entries.join(inputs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    own = entries.join(_run_ids(inputs), "run_id", "left_semi")
     before = own.agg(F.count(F.lit(1)).alias("keys_in"), F.coalesce(F.sum(entry_size()), F.lit(0)).alias("bytes_in"))
     after = latest(own).agg(F.count(F.lit(1)).alias("keys_out"), F.coalesce(F.sum(entry_size()), F.lit(0)).alias("bytes_out"), F.count_if("is_tombstone").alias("tombstones_kept"))
     ids = inputs.agg(F.array_sort(F.collect_list("id")).alias("inputs"))

@@ -204,6 +204,21 @@ def test_ratio_without_bytes_is_null(spark):
     assert compaction.throttle_budget(jobs, 1).first()["least_ms"] == 2000 and compaction.throttle_budget(jobs, 0).first()["least_ms"] == 0
 
 
+def _dealt_by_run(df) -> bool:
+    return "hashpartitioning(run_id" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_of_a_job_are_not_dealt_out_by_run(spark, tmp_path):
+    rows = [(0, "a", "x", 1, False), (0, "b", "yy", 2, False), (1, "a", None, 3, True), (2, "c", "z", 4, False)]
+    spark.createDataFrame(rows, "run_id long, key string, value string, seq_no long, is_tombstone boolean").write.parquet(str(tmp_path / "runs"))
+    entries, inputs = spark.read.parquet(str(tmp_path / "runs")), spark.createDataFrame([(0,), (1,)], "id long")
+    stats = compaction.job_stats(entries, inputs, 7)
+    assert not _dealt_by_run(stats) and tuple(stats.first()) == ("0,1", 7, 102, 68, 3, 2, 1, 1, 0)
+    after = compaction.compacted(entries, inputs, 7)
+    assert not _dealt_by_run(after)
+    assert sorted(tuple(r[c] for c in ("run_id", "key", "seq_no")) for r in after.collect()) == [(2, "c", 4), (7, "a", 3), (7, "b", 2)]
+
+
 def test_wal_reader_stops_at_damage(spark, tmp_path):
     raw = wal.pack_segment([("PUT", 1, "a", "x"), ("DEL", 2, "a", None), ("PUT", 3, "ključ", "")])
     (tmp_path / "000001.wal").write_bytes(raw)
