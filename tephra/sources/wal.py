@@ -1,4 +1,4 @@
-"""Reader of binary log segments as a Python data source, one partition a segment; and the packer that tests use.
+"""Reader of binary log segments, whole segments to a task; and the packer that tests use.
 
     header   "LSMW", version 1, three zero bytes
     record   u32 payload length, payload, u32 checksum
@@ -22,6 +22,11 @@ from ..model import MAX_PAYLOAD
 #: Fixed values of the format.
 MAGIC, VERSION, HEADER = b"LSMW", 1, 8
 
+#: Rows and payload bytes that a task gathers before it hands them to Spark.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
+#: Segments that share a folder.
+FOLDER_SEGMENTS = 4096
+
 PHYSICAL = "ord int, offset long, end_offset long, payload_len long, ok boolean, seq_no long, op string, key string, value string"
 
 
@@ -60,40 +65,77 @@ def records(raw: bytes) -> Iterator[tuple]:
 
 
 def read_wal(spark: SparkSession, folder: str) -> DataFrame:
-    """segment (file name) and PHYSICAL of all segments below a folder; files come through Spark's own readers, so any file system will do."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("segment"), "content")
+    """segment (file name) and PHYSICAL of all segments below a folder; files come through Spark's own readers, so any file system will do.
+
+    Segments may be small and many: Spark opens a task for every 32 of them, which are taken together to as many tasks as
+    a shuffle has, and rows of several segments are handed back at once.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("segment"), "content")
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+        fields = [("segment", pa.string()), *((n, kinds[k]) for n, k in (c.split(" ") for c in PHYSICAL.split(", ")))]
+        rows, size = [], 0
 
-        for pdf in batches:
-            for segment, content in zip(pdf["segment"], pdf["content"]):
-                rows = [(segment, *r) for r in records(bytes(content))]
-                out = pd.DataFrame(rows, columns=["segment", "ord", "offset", "end_offset", "payload_len", "ok", "seq_no", "op", "key", "value"])
-                yield out.astype({"ord": "int32", "payload_len": "Int64", "seq_no": "Int64"})
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
-    return files.mapInPandas(run, f"segment string, {PHYSICAL}")
+        for given in batches:
+            for segment, content in zip(given.column(0), given.column(1)):
+                segment = segment.as_py()
+                for r in records(content.as_py()):
+                    rows.append((segment, *r))
+                    size += r[3] if r[4] else 0
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
+
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.coalesce(tasks).mapInArrow(run, f"segment string, {PHYSICAL}")
 
 
 def write_wal(segments: DataFrame, folder: str) -> None:
-    """segments: segment (number), seq_no, op, key, value. Each task writes whole segment files; for test data and exports on a shared file system."""
+    """segments: segment (number), seq_no, op, key, value. Each task writes whole segment files, one at a time; for test data and exports on a shared file system.
+
+    FOLDER_SEGMENTS of them share a folder below ``folder``: no folder gets long, and Spark lists many folders in tasks.
+    """
     import os
 
     folder = mounted(folder)
     os.makedirs(folder, exist_ok=True)
 
     def run(batches):
-        import pandas as pd
-
-        own: dict[int, list] = {}
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                own.setdefault(r.segment, []).append((r.op, r.seq_no, r.key, r.value))
-        for segment, rows in own.items():
-            path = os.path.join(folder, f"{segment:06d}.wal")
-            with open(path + ".tmp", "wb") as f:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        own, rows = None, []
+
+        def put():
+            within = os.path.join(folder, f"{own // FOLDER_SEGMENTS:06d}")
+            os.makedirs(within, exist_ok=True)
+            path = os.path.join(within, f"{own:06d}.wal")
+            # Attempts of a task write apart; the last to be whole stays.
+            temporary = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
+            with open(temporary, "wb") as f:
                 f.write(pack_segment(rows))
-            os.replace(path + ".tmp", path)
-            yield pd.DataFrame({"segment": [segment]})
-
-    segments.select("segment", "seq_no", "op", "key", "value").repartition("segment").sortWithinPartitions("segment", "seq_no").mapInPandas(run, "segment long").count()
+            os.replace(temporary, path)
+
+        for given in batches:
+            done = []
+            for segment, *r in zip(*(c.to_pylist() for c in given.columns)):
+                if rows and segment != own:
+                    put()
+                    done.append(own)
+                    rows = []
+                own = segment
+                rows.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["segment"])
+        if rows:
+            put()
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64())], names=["segment"])
+
+    segments.select(F.col("segment").cast("long").alias("segment"), "op", "seq_no", "key", "value").repartition("segment").sortWithinPartitions("segment", "seq_no").mapInArrow(run, "segment long").count()

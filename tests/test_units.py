@@ -228,6 +228,18 @@ def test_wal_reader_stops_at_damage(spark, tmp_path):
     assert [(r["segment"][5], r["ok"], r["seq_no"], r["value"]) for r in got] == [("1", True, 1, "x"), ("1", True, 2, None), ("1", True, 3, ""), ("2", True, 1, "x"), ("2", True, 2, None), ("2", False, None, None), ("3", False, None, None)]
 
 
+def test_many_small_segments_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wal, "FOLDER_SEGMENTS", 100)
+    monkeypatch.setattr(wal, "BATCH_ROWS", 7)
+    rows = [(i // 3, i, "DEL" if i % 5 == 0 else "PUT", f"k{i}", None if i % 5 == 0 else "v" * (i % 4)) for i in range(1500)]
+    wal.write_wal(spark.createDataFrame(rows, "segment long, seq_no long, op string, key string, value string").repartition(3), str(tmp_path / "log"))
+    assert len(list(tmp_path.glob("log/*/*.wal"))) == 500 and not list(tmp_path.glob("log/**/*.tmp"))
+    read = wal.read_wal(spark, str(tmp_path / "log"))
+    got = read.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) <= 8  # 500 files are 16 tasks of Spark's own
+    assert all(r["ok"] for r in got) and sorted((int(r["segment"][:-4]), r["seq_no"], r["op"], r["key"], r["value"]) for r in got) == rows
+
+
 def test_run_files(spark, tmp_path):
     entries = [(f"key:{i:04d}", None if i % 5 == 0 else "v" * (i % 40), i + 1, i % 5 == 0) for i in range(300)]
     for size, restart in ((64, 1), (256, 4), (8192, 16)):
