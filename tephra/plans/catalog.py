@@ -383,8 +383,8 @@ _JOBS = (("0, 1", 7), ("2, 3, 4", 8), ("5, 6", 9))
 _JOBS_SQL = " UNION ALL ".join(f"({_job_sql(ids, out)})" for ids, out in _JOBS)
 
 
-def _jobs(spark, d) -> DataFrame:
-    runs, out = R.runs(spark, d), None
+def _jobs(spark, runs: DataFrame) -> DataFrame:
+    out = None
     for ids, output in _JOBS:
         one = compaction.job_stats(runs, spark.createDataFrame([(int(i),) for i in ids.split(", ")], "id long"), output)
         out = one if out is None else out.unionByName(one)
@@ -393,17 +393,17 @@ def _jobs(spark, d) -> DataFrame:
 
 @query(sql(_JOBS_SQL, "runs"))
 def compaction_job_stats(spark, d):
-    return _jobs(spark, d)
+    return _jobs(spark, R.runs(spark, d))
 
 
 @query(sql(f"SELECT count(*) AS jobs, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(bytes_out) AS DOUBLE) / CAST(sum(bytes_in) AS DOUBLE) AS ratio FROM ({_JOBS_SQL})", "runs"))
 def wa_ratio(spark, d):
-    return compaction.wa_ratio(_jobs(spark, d))
+    return compaction.wa_ratio(_jobs(spark, R.runs(spark, d)))
 
 
 @query(sql(f"SELECT output, bytes_out, CAST(bytes_out * 1000 // (1 * 1024 * 1024) AS BIGINT) AS least_ms FROM ({_JOBS_SQL})", "runs"))
 def throttle_budget(spark, d):
-    return compaction.throttle_budget(_jobs(spark, d), 1).select("output", "bytes_out", "least_ms")
+    return compaction.throttle_budget(_jobs(spark, R.runs(spark, d)), 1).select("output", "bytes_out", "least_ms")
 
 
 # Maintenance
@@ -492,7 +492,8 @@ def engine_stats(spark, d):
 
 @query(sql(f"SELECT count(*) AS jobs, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(keys_dropped) AS BIGINT) AS keys_dropped, (SELECT count(*) FROM manifest) AS runs, (SELECT CAST(sum(file_size) AS BIGINT) FROM manifest) AS backlog_bytes, CAST(sum(bytes_out) AS DOUBLE) / CAST(sum(bytes_in) AS DOUBLE) AS ratio FROM ({_JOBS_SQL})", "manifest"))
 def compaction_stats(spark, d):
-    return inspection.compaction_stats(_jobs(spark, d), R.manifest(R.runs(spark, d)))
+    runs = R.runs(spark, d)
+    return inspection.compaction_stats(_jobs(spark, runs), R.manifest(runs))
 
 
 @query(sql("SELECT run_id, count(*) AS blocks, min(length) AS min_length, max(length) AS max_length, avg(CAST(length AS DOUBLE)) AS avg_length, min(first_key) AS first_key FROM blocks GROUP BY run_id", "blocks"))

@@ -219,6 +219,13 @@ def test_entries_of_a_job_are_not_dealt_out_by_run(spark, tmp_path):
     assert sorted(tuple(r[c] for c in ("run_id", "key", "seq_no")) for r in after.collect()) == [(2, "c", 4), (7, "a", 3), (7, "b", 2)]
 
 
+@pytest.mark.parametrize("name", ["compaction_stats"])
+def test_job_reports_make_the_runs_once_and_deal_out_none(name, spark, sf_dir, monkeypatch):
+    made, runs = [], R.runs
+    monkeypatch.setattr(R, "runs", lambda *a: made.append(a) or runs(*a))
+    assert not _dealt_by_run(QUERIES[name](spark, sf_dir)) and len(made) == 1
+
+
 def test_wal_reader_stops_at_damage(spark, tmp_path):
     raw = wal.pack_segment([("PUT", 1, "a", "x"), ("DEL", 2, "a", None), ("PUT", 3, "ključ", "")])
     (tmp_path / "000001.wal").write_bytes(raw)
