@@ -219,7 +219,7 @@ def test_entries_of_a_job_are_not_dealt_out_by_run(spark, tmp_path):
     assert sorted(tuple(r[c] for c in ("run_id", "key", "seq_no")) for r in after.collect()) == [(2, "c", 4), (7, "a", 3), (7, "b", 2)]
 
 
-@pytest.mark.parametrize("name", ["compaction_stats", "throttle_budget"])
+@pytest.mark.parametrize("name", ["compaction_stats", "throttle_budget", "wa_ratio"])
 def test_job_reports_make_the_runs_once_and_deal_out_none(name, spark, sf_dir, monkeypatch):
     made, runs = [], R.runs
     monkeypatch.setattr(R, "runs", lambda *a: made.append(a) or runs(*a))
